@@ -3,7 +3,7 @@
 Words of texts, A-Z lower-cased, are compared in windows: 10 consecutive words of a benchmark item,
 or the whole item if it has fewer. Three steps find each place in a text where a window occurs:
 
-1. A bit table of fixed size (2**20 bits) of the windows' first words goes to the tasks as a scalar
+1. A bit table (at most 2**20 bits) of the windows' first words goes to the tasks as a scalar
    subquery. Each place of a text is tested against it, so that few places leave the row.
 2. The windows at those places join the set of benchmark windows on the whole window: the join is the
    exact check. The set is broadcast while it has at most BROADCAST_WINDOWS rows, and shuffled beyond.
@@ -25,7 +25,7 @@ from .common import LOWER, UPPER, lower_ascii, table
 #: Fixed value of the contract.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-BITS = 1 << 20
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 20  # a row carries the table through the scan, so it is no larger than it need be
 HEAD = 3
 BROADCAST_WINDOWS = 2_000_000
 
@@ -49,7 +49,12 @@ def head_hash(w: str, i: Column, length: Column) -> Column:
     return F.xxhash64(F.least(length, F.lit(HEAD)), *parts)
 
 
-def bit_table(spark: SparkSession, windows: DataFrame, bits: int = BITS) -> Column:
+def table_bits(n_windows: int) -> int:
+    """32 bits a window, within bounds: beyond them, more places pass the first step, and the join still decides."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (32 * max(n_windows, 1) - 1).bit_length()))
+
+
+def bit_table(spark: SparkSession, windows: DataFrame, bits: int) -> Column:
     """bits/64 longs as a scalar subquery."""
     b = F.pmod("head", F.lit(bits))
     have = windows.select(F.floor(b / 64).cast("long").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(head, {bits}) % 64 as int))").alias("v")).groupBy("i").agg(F.bit_or("v").alias("v"))
@@ -57,16 +62,16 @@ def bit_table(spark: SparkSession, windows: DataFrame, bits: int = BITS) -> Colu
     return full.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("t")).scalar()
 
 
-def has_bit(bits_table: str, h: Column, bits: int = BITS) -> Column:
+def has_bit(bits_table: str, h: Column, bits: int) -> Column:
     b = F.pmod(h, F.lit(bits))
     word = F.get(F.col(bits_table), F.floor(b / 64).cast("int"))
     return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))) != 0
 
 
-def candidates(n: int) -> Column:
+def candidates(n: int, bits: int) -> Column:
     """From columns w and bits: the places at which a window of n words may start, with its words."""
     starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-    places = F.filter(starts, lambda i: has_bit("bits", head_hash("w", i, F.lit(n))))
+    places = F.filter(starts, lambda i: has_bit("bits", head_hash("w", i, F.lit(n)), bits))
     return F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(n).alias("len"), F.array_join(F.slice("w", i + 1, n), " ").alias("win")))
 
 
@@ -79,8 +84,9 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     marker = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("len"), F.lit("").alias("win")))
     found = [marker]
     if lengths:
-        base = base.withColumn("bits", bit_table(spark, windows))
-    found += [candidates(n) for n in lengths]
+        bits = table_bits(n_windows)
+        base = base.withColumn("bits", bit_table(spark, windows, bits))
+        found += [candidates(n, bits) for n in lengths]
     rows = base.select("doc_id", "th", F.size("w").alias("n_words"), F.explode(F.concat(*found)).alias("c")).select("doc_id", "th", "n_words", "c.*")
     some = windows.select("item_id", "len", "win")
     some = F.broadcast(some) if n_windows <= BROADCAST_WINDOWS else some
