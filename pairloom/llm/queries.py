@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, url_filter
+from . import decontaminate, language, packing, quality, token_files, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [decontaminate.op2_decontaminate, url_filter.op8_url_reputation]
+    found = [
+        quality.op1_quality_rules,
+        decontaminate.op2_decontaminate,
+        packing.op4_pack_sequences,
+        toxicity.op7_toxicity,
+        url_filter.op8_url_reputation,
+        language.op9_language,
+        token_files.op10_token_files,
+    ]
     return {f.__name__: f for f in found}
 
 
