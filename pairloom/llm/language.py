@@ -138,8 +138,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Codes | None:
     return fit_codes(names, x, np.searchsorted(names, got["lang"].to_pylist()))
 
 
-def predict(docs: DataFrame, model: Codes | None) -> DataFrame:
-    """docs' columns, lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: Codes | None, names_: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs' columns, and by names_: the language, its score, and whether it leads by little."""
     small_batches(docs.sparkSession)
 
     def judge(batches: Iterator) -> Iterator:
@@ -161,14 +161,18 @@ def predict(docs: DataFrame, model: Codes | None) -> DataFrame:
                 names += [model.names[b] if o else UND for b, o in zip(best, ok, strict=True)]
                 scores += np.where(ok, top, 0.0).tolist()
                 close += ((top - second < AMBIGUOUS) | ~ok).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=[*batch.schema.names, *names_])
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    clash = [c for c in docs.columns if c in ("lang_pred", "score", "ambiguous")]
-    kept = docs.drop(*clash)
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
-    return kept.mapInArrow(judge, schema)
+    more = [StructField(n, t) for n, t in zip(names_, (StringType(), DoubleType(), BooleanType()), strict=True)]
+    return docs.mapInArrow(judge, StructType([*docs.schema.fields, *more]))
+
+
+def known(docs: DataFrame, model: Codes | None, least: float = 0.5) -> DataFrame:
+    """docs in a learnt language, with a score of at least least."""
+    names = tuple(f"{w} of {''.join(docs.columns)}" for w in ("language", "score", "doubt"))  # no columns of docs
+    return predict(docs, model, names).where((F.col(f"`{names[0]}`") != UND) & (F.col(f"`{names[1]}`") >= least)).select(*docs.columns)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

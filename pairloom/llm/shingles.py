@@ -66,7 +66,7 @@ def shingle_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set, 0 for an empty one."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[0], np.cumsum(mix(h + M1))]).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + M1), dtype=np.uint64)])
         n = np.diff(ends)
         out = mix(sums[ends[1:]] - sums[ends[:-1]] + n.astype(np.uint64) * M2)
     out[n == 0] = 0

@@ -256,8 +256,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(entries, w, b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns and toxicity (0 to 1)."""
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs' columns and name, the score (0 to 1)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     small_batches(docs.sparkSession)
@@ -269,10 +269,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         grammar = Grammar(entries)
         for batch in batches:
             p = model.score(grammar.features(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
-    kept = docs.drop("toxicity")
-    return kept.mapInArrow(judge, StructType([*kept.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,6 +279,12 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(own, "doc_id")
 
 
+def clean(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """docs that score below cut."""
+    name = "toxicity of " + "".join(docs.columns)  # no column of docs
+    return score(docs, model, name).where(F.col(f"`{name}`") < cut).select(*docs.columns)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(training(docs, table(spark, sf_dir, "labels")))
