@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return ship(spark)
 
 
+def checkpoints(spark: SparkSession) -> SparkSession:
+    """Makes checkpoint() write to the folder that the session names, or, where none is set (tests), to one of its own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairloom-"))
+    return spark
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from the folder in which the driver found it.
 
