@@ -190,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ensemble:
     share = F.lit(0)
     for k, n in sorted(counts.items()):
         share = F.when(F.col("quality") == k, F.lit(int(min(1.0, each / n) * million))).otherwise(share)
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share)
-    stats, names = with_statistics(docs.select("doc_id", "text").join(some, "doc_id"))
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share).limit(2 * rows)  # about rows
+    stats, names = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
     got = stats.select("quality", "s.*").toPandas().sort_values(["quality", *names])
     return fit_rules(got[names].to_numpy(float), got["quality"].to_numpy(float), names)
 
