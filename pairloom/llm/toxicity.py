@@ -189,12 +189,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100
     return w[:-1], float(w[-1])
 
 
-def sample(docs: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
-    """Labelled docs (doc_id, text, toxic 0/1), about rows of each class at most, and how many rows each has there."""
-    n = {int(r["toxic"]): r["count"] for r in docs.groupBy("toxic").count().collect()}
-    million = 1_000_000
-    share = F.when(F.col("toxic") == 1, F.lit(int(min(1.0, rows / max(n.get(1, 1), 1)) * million))).otherwise(F.lit(int(min(1.0, rows / max(n.get(0, 1), 1)) * million)))
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share), min(n.get(1, 0), rows), min(n.get(0, 0), rows)
+def training(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, text, toxic of about rows labelled documents of each class at most, none held out.
+
+    The labels are sampled first (by a hash of doc_id), so that what is broadcast is bounded.
+    """
+    own = labels.where(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    million, share = 1_000_000, F.lit(0)
+    for r in own.groupBy("toxic").count().orderBy("toxic").collect():
+        share = F.when(F.col("toxic") == r["toxic"], F.lit(int(min(1.0, rows / r["count"]) * million))).otherwise(share)
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share).limit(4 * rows)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null")
 
 
 def one_of_copies(docs: DataFrame) -> DataFrame:
@@ -214,21 +219,20 @@ def one_of_copies(docs: DataFrame) -> DataFrame:
     return marked.groupBy("toxic", "low", "high").agg(F.min_by("text", "doc_id").alias("text"))
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """labelled: doc_id, text, toxic, already without held-out rows.
+def fit(labelled: DataFrame) -> Model:
+    """labelled: doc_id, text, toxic, a bounded number of rows.
 
     Of near copies, one row counts: else each rare word of a copied toxic text would look like an insult.
     If there are many toxic rows, half (by a hash of the text) give the lexicon, the others the weights of
     the kinds, so that the weights are those of entries in texts that the lexicon has not seen.
     """
     small_batches(labelled.sparkSession)
-    some, toxic, clean = sample(labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), rows)
-    if not toxic or not clean:
-        return Model([], np.zeros(2 * len(KINDS)), -10.0 if not toxic else 0.0)
     scratch = Scratch(labelled.sparkSession, "toxicity")
-    some = scratch.keep(one_of_copies(some), "sample")
-    n = {int(r["toxic"]): r["count"] for r in some.groupBy("toxic").count().collect()}
+    some = scratch.keep(one_of_copies(labelled), "sample")
+    n = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
+    if not toxic or not clean:
+        return Model([], np.zeros(2 * len(KINDS)), 0.0 if toxic else -10.0)
     apart = toxic >= 4 * MANY
     own = some.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 0) if apart else some
     toxic, clean = (toxic // 2, clean // 2) if apart else (toxic, clean)
@@ -274,11 +278,6 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    own = labels.where(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    return docs.select("doc_id", "text").join(own, "doc_id")
-
-
 def clean(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """docs that score below cut."""
     name = "toxicity of " + "".join(docs.columns)  # no column of docs
