@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,20 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fold_by(rows: DataFrame, key: str, fold: Callable, fan: int = 32) -> DataFrame:
+    """One row for each key, folded up a tree: a task holds the rows of fan tasks at most.
+
+    rows: key, task (the number of the task that made the row, once for a key) and values, in a written
+    table. fold: an Arrow table of a key's rows to one row of the same columns; the order must not matter.
+    """
+    top = rows.agg(F.max("task")).first()[0] or 0
+    while True:
+        rows = rows.withColumn("task", F.floor(F.col("task") / fan).cast("bigint")).groupBy(key, "task").applyInArrow(fold, rows.schema)
+        if top < fan:
+            return rows
+        top //= fan
+
+
 def slices(batch, column: str, most_bytes: int = 8 << 20) -> Iterator:
     """Parts of an Arrow batch of about most_bytes in one column each, a row at least."""
     start, size = 0, 0
