@@ -28,11 +28,10 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
     import xxhash
 
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    split = pc.ascii_split_whitespace(lowered)
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = split.offsets.to_numpy()
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    names = pc.ascii_lower(coded.dictionary).to_pylist()  # distinct words only; and ascii_lower misreads arrays that are slices
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in names), np.uint64, len(names))
     codes = coded.indices.to_numpy(zero_copy_only=False)
     hashes = own[codes] if len(names) else np.empty(0, np.uint64)
