@@ -1,8 +1,8 @@
 """N-gram Jaccard join by prefixes of token combinations.
 
-Tokens are hashed shingles. All sets are ordered alike: rare tokens first, then by class of frequency, by
-hash within a class. Frequencies come from a sketch of fixed size (BUCKETS counters over all documents);
-any fixed order gives the same links, so the sketch decides speed alone.
+Tokens are hashed shingles. All sets are ordered alike: rare tokens first, equal ones by hash. Frequencies
+come from a sketch of fixed size (BUCKETS counters over all documents); any fixed order gives the same
+links, so the sketch decides speed alone.
 
 Let two sets of sizes n and m link at share s of their union, so that they have at least o = ceil(s * n)
 tokens in common. Then the first k tokens that they share are among the first n - o + k of each. Hence
@@ -27,22 +27,26 @@ null doc_id counting for nothing unless all are null. Empty table: no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, slices, small_batches, table
+from .common import LOWER, UPPER, Scratch, fold_by, slices, small_batches, table
 from .shingles import M1, M2, mix, shingle_sets, signatures, signed
 
-BUCKETS = 1 << 18
-BLOCK = 1 << 12
-FREQUENT = 4  # times a bucket's median count
+BUCKET_BITS = 22
+BUCKETS = 1 << BUCKET_BITS
+BLOCK = 1 << 16
+FREQUENT = 256  # documents, beyond what other tokens add to a counter
 PAIR_TOKENS = 700
-SHORT = 16
+SHORT = 32
+SHAPE = 64
+SLICE = 2 << 20  # bytes of text that are shingled at once: their words and shingles take some fifty times that
 ROUNDS = 3
-FILTER_BITS = 1 << 23
+FILTER = 23  # bits of a text's hash that choose its bit in the table of wanted texts
 
 
 class Share:
@@ -59,30 +63,43 @@ class Share:
         """Whether sets of n and m tokens can link if the first that they share are at i and j (from 0)."""
         return F.least(n - i, m - j) * (self.num + self.den) >= (n + m) * self.num
 
+    def apart(self, difference: Column, n: Column, m: Column) -> Column:
+        """Whether sets that differ in so many tokens or more are too far apart to link."""
+        return difference * (self.num + self.den) > (n + m) * (self.den - self.num)
+
     def links(self, common: Column, n: Column, m: Column) -> Column:
         return common * self.den >= (n + m - common) * self.num
 
 
+def buckets_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, th, n, node; th: hash of the text) and, with block, parts of the sketch of their tokens."""
+    """Rows of documents (doc_id, th, n, node; th: hash of the text; shape: its tokens counted by the rest of
+    their hashes) and, with block, parts of the sketch of their tokens."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        sketch = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "th", "n", "node", "block", "counts"]
+        sketch = np.zeros(BUCKETS, np.int32)
+        names = ["doc_id", "th", "n", "node", "shape", "block", "task", "counts"]
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
-                sketch += np.bincount((h >> np.uint64(64 - 18)).astype(np.int64), minlength=BUCKETS)
+                sketch += np.bincount(buckets_of(h), minlength=BUCKETS).astype(np.int32)
                 size = len(ends) - 1
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.diff(ends)), pa.array(signed(signatures(h, ends))), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
-        blocks = [(k, sketch[k * BLOCK : (k + 1) * BLOCK]) for k in range(BUCKETS // BLOCK)]
-        blocks = [(k, b.astype("<i8").tobytes()) for k, b in blocks if b.any()]
-        none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=names)
+                part = np.repeat(np.arange(size), np.diff(ends)) * SHAPE + (h % np.uint64(SHAPE)).astype(np.int64)
+                shape = np.bincount(part, minlength=size * SHAPE).astype(np.int32)
+                shapes = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * SHAPE), pa.array(shape))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.diff(ends)), pa.array(signed(signatures(h, ends))), shapes, pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], names=names)
+        blocks = [k for k in range(BUCKETS // BLOCK) if sketch[k * BLOCK : (k + 1) * BLOCK].any()]
+        packed = [zlib.compress(sketch[k * BLOCK : (k + 1) * BLOCK].astype("<i8").tobytes(), 1) for k in blocks]
+        none, m = pa.nulls(len(blocks), pa.int64()), len(blocks)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(m, pa.list_(pa.int32())), pa.array(blocks, pa.int32()), pa.array([TaskContext.get().partitionId()] * m, pa.int64()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th")).mapInArrow(count, "doc_id long, th long, n long, node long, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th")).mapInArrow(count, "doc_id long, th long, n long, node long, shape array<int>, block int, task long, counts binary")
 
 
 def sketch_of(scanned: DataFrame) -> np.ndarray:
@@ -91,26 +108,26 @@ def sketch_of(scanned: DataFrame) -> np.ndarray:
     def add(t):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(b, "<i8") for b in t["counts"].to_pylist())
-        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in t["counts"].to_pylist())
+        return pa.table([t["block"].slice(0, 1).combine_chunks(), t["task"].slice(0, 1).combine_chunks(), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=["block", "task", "counts"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
+    for r in fold_by(scanned.where("block is not null").select("block", "task", "counts"), "block", add).toLocalIterator():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return out
 
 
-def classes_of(sketch: np.ndarray) -> np.ndarray:
-    """0 for rare; from 1 on, the class of frequency of a bucket."""
-    median = max(float(np.median(sketch)), 1.0)
-    with np.errstate(divide="ignore"):
-        return np.where(sketch > FREQUENT * median, 1 + np.floor(2 * np.log2(np.maximum(sketch, 1) / median)), 0).astype(np.int8)
+def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each counter on a scale of logarithms, and the rank from which tokens are frequent."""
+    scale = lambda c: np.minimum(2048 * np.log2(1.0 + c), 65_535).astype(np.uint16)
+    median = float(np.median(sketch))
+    return scale(sketch), int(scale(np.array([median + 8 * np.sqrt(median) + FREQUENT]))[0])
 
 
-def entries(docs: DataFrame, n: int, share: Share, classes: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, n: int, share: Share, ranks: np.ndarray, frequent: int) -> DataFrame:
     """key, node, size, pos: the index."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(classes)
+    sent = spark.sparkContext.broadcast(ranks)
     least = 1
     while share.least_common(least) >= least and least < 1000:  # smaller sets link with equal ones only
         least += 1
@@ -119,13 +136,13 @@ def entries(docs: DataFrame, n: int, share: Share, classes: np.ndarray) -> DataF
     def index(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cls = sent.value
+        ranks = sent.value
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
                 sig = signatures(h, ends)
                 keys, nodes, sizes, places = [], [], [], []
-                rank = cls[(h >> np.uint64(64 - 18)).astype(np.int64)]
+                rank = ranks[buckets_of(h)]
                 for k in range(len(sig)):
                     a, b = int(ends[k]), int(ends[k + 1])
                     size = b - a
@@ -133,16 +150,16 @@ def entries(docs: DataFrame, n: int, share: Share, classes: np.ndarray) -> DataF
                         continue
                     p = size - int(share.least_common(size)) + 1
                     own, r = h[a:b], rank[a:b]
-                    order = np.lexsort((own, r))[: p + 1]
-                    own, often = own[order], r[order] > 0
+                    order = np.argsort(r, kind="stable")[: p + 1]  # the hashes ascend already
+                    own, often = own[order], r[order] > frequent
                     alone = np.ones(p, bool) if size > PAIR_TOKENS else ~often[:p]
-                    if overlap <= size <= PAIR_TOKENS:
+                    if overlap <= size <= PAIR_TOKENS or share.least_common(size) < 2:  # or a link need not share two
                         alone[:] = True
                     single = np.flatnonzero(alone)
                     found, at = [own[single]], [single]
                     if size <= PAIR_TOKENS and often[:p].any():
                         i, j = np.triu_indices(len(own), 1)
-                        of = (i < p) & often[np.minimum(i, len(often) - 1)]
+                        of = (i < p) & often[i]
                         i, j = i[of], j[of]
                         found.append(mix(mix(own[i]) * M1 + own[j] * M2 + M1))
                         at.append(i)
@@ -158,7 +175,7 @@ def entries(docs: DataFrame, n: int, share: Share, classes: np.ndarray) -> DataF
 
 
 def sets_of(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """node, tokens for documents whose node's bit is set in wanted (and some others)."""
+    """node, tokens for documents the bit of whose text's hash is set in wanted (and for a few others)."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def pick(batches: Iterator) -> Iterator:
@@ -166,25 +183,20 @@ def sets_of(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
 
         bits = np.unpackbits(sent.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            ours = bits[(whole.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)].astype(bool)
+            for batch in slices(whole.filter(pa.array(ours)), "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
-                sig = signatures(h, ends)
-                keep = np.flatnonzero(bits[(sig >> np.uint64(64 - 23)).astype(np.int64)])
-                if len(keep):
-                    sizes = (ends[1:] - ends[:-1])[keep]
-                    at = np.concatenate([[0], np.cumsum(sizes)])
-                    flat = np.concatenate([h[ends[k] : ends[k + 1]] for k in keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(flat)))], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(h, ends))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(h)))], names=["node", "tokens"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(pick, "node long, tokens array<long>")
+    return docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("th")).mapInArrow(pick, "node long, tokens array<long>")
 
 
-def bits_of(nodes: DataFrame) -> np.ndarray:
-    """A table of FILTER_BITS bits, those of the nodes set."""
-    high = F.shiftrightunsigned("node", 64 - 23)
-    words = nodes.select(F.shiftright(high, 6).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 41) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def bits_of(hashes: DataFrame) -> np.ndarray:
+    """A table of 2**FILTER bits, those of the hashes (th) set."""
+    high = F.shiftrightunsigned("th", 64 - FILTER)
+    words = hashes.select(F.shiftright(high, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(th, {64 - FILTER}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     t = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros((1 << FILTER) // 64, np.uint64)
     out[t["w"].to_numpy()] = t["b"].to_numpy().view(np.uint64)
     return ((out[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
 
@@ -210,33 +222,45 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Documents (doc_id, th, n, node), and node, comp for nodes that link with others."""
     scanned = scratch.keep(scan(docs, n), "scan")
-    nodes = scanned.where("block is null").select("doc_id", "th", "n", "node")
-    index = scratch.keep(entries(docs, n, share, classes_of(sketch_of(scanned))), "index")
-    several = index.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    posted = scratch.keep(index.join(several, "key", "left_semi").distinct(), "posted")
+    rows = scanned.where("block is null")
+    nodes = rows.select("doc_id", "th", "n", "node")
+    index = scratch.keep(entries(docs, n, share, *ranks_of(sketch_of(scanned))), "index")
+    several = index.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
+    posted = scratch.keep(index.join(several, "key").distinct(), "posted")
     scratch.drop(index)
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    posted = posted.join(counts, "key")
-    wanted = bits_of(posted.select("node").distinct())
-    if not wanted.any():
-        return nodes, None
-    sets = scratch.keep(sets_of(docs, n, wanted).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     may = share.reachable(F.col("l.size"), F.col("l.pos"), F.col("r.size"), F.col("r.pos"))
 
+    def paired(rows: DataFrame, apart: Column) -> DataFrame:
+        return rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+    pairs = scratch.keep(paired(posted.where(F.col("members") <= SHORT), F.col("l.node") < F.col("r.node")).distinct(), "pairs")
+    long_ = scratch.keep(posted.where(F.col("members") > SHORT).drop("members"), "long")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_.select("node")).distinct()
+    chosen = scratch.keep(rows.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "n", "shape")).alias("s")).select("node", "s.*"), "chosen")
+    if not chosen.limit(1).count():
+        return nodes, None
+    side = lambda of, name, *more: chosen.select(F.col("node").alias(of), *[F.col(c).alias(c + name) for c in more])
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose shapes do not rule them out: sets differ in no fewer tokens than their shapes do."""
+        both = pairs.join(side("a", "1", "n", "shape"), "a").join(side("b", "2", "n", "shape"), "b")
+        differ = F.aggregate(F.zip_with("shape1", "shape2", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        return both.where(~share.apart(differ, F.col("n1"), F.col("n2"))).select("a", "b")
+
+    scratch_pairs, pairs = pairs, scratch.keep(near(pairs), "near")
+    scratch.drop(scratch_pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_.select("node")).distinct()
+    wanted = scratch.keep(chosen.select("node", "th").join(wanted, "node", "left_semi"), "wanted")
+    sets = scratch.keep(sets_of(docs, n, bits_of(wanted)).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.select("a", "b").distinct()
-        first = one.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
         full = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return full.where(share.links(common, F.size("x"), F.size("y"))).select("a", "b")
 
-    def paired(rows: DataFrame, apart: Column) -> DataFrame:
-        return rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-
-    short = posted.where(F.col("members") <= SHORT)
-    links = scratch.keep(verified(paired(short, F.col("l.node") < F.col("r.node"))), "links")
+    links = scratch.keep(verified(pairs), "links")
     comps = components(links, scratch)
-    long_ = scratch.keep(posted.where(F.col("members") > SHORT).drop("members"), "long")
     for turn in range(ROUNDS + 1):
         now = long_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         lists = now.groupBy("key").agg(
@@ -259,7 +283,7 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
             pairs = active.where(meets).select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"))
         else:
             pairs = paired(active, (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")))
-        more = scratch.keep(verified(pairs), "links")
+        more = scratch.keep(verified(near(pairs.distinct())), "links")
         links = links.unionByName(more)
         if more.limit(1).count():
             scratch.drop(comps)
