@@ -129,7 +129,7 @@ def test_words_kept_and_forgotten(monkeypatch):
         text = f"the word{k} of. other{k * 7}, end. it's x{k}"
         ids, _ = w.encode(pa.array([text]))
         assert ids.tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(w.place) < 80
+    assert len(w.words) < 80
 
 
 def test_packing(spark, odd, nothing):
