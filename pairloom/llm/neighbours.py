@@ -33,7 +33,8 @@ K = 48
 TREES, LEAF, LEAF_MOST, SAMPLE = 4, 1000, 1600, 4096
 ROUNDS, MEET = 2, 16
 BEAM, EXPAND, HOPS = 256, 32, 6
-QUERIES = 128  # in a block
+TOGETHER = 16  # leaves of the first tree in a block: the larger, the fewer blocks fetch a vector
+QUERIES = 4096  # in a block
 LISTS = "node long, ids array<long>, sims array<float>"
 
 
@@ -196,7 +197,7 @@ def first_lists(units: DataFrame, n: int, scratch: Scratch, k: int = K) -> tuple
         return pa.Table.from_batches([list_batch(node, starts, node[best].ravel(), np.take_along_axis(sim, best, 1).ravel())])
 
     lists = parted.groupBy("tree", "leaf", "part").applyInArrow(compare, LISTS)
-    blocks = parted.where("tree = 0").select("node", "x", F.xxhash64("leaf", "part").alias("block"))
+    blocks = parted.where("tree = 0").select("node", "x", F.xxhash64(F.floor(F.col("leaf") / TOGETHER), "part").alias("block"))
     return lists, blocks
 
 
@@ -223,7 +224,7 @@ def descend(graph: DataFrame, blocks: DataFrame, k: int = K) -> DataFrame:
     needed = around.select("block", F.explode("ids").alias("id")).distinct()
     worst = graph.select("node", F.when(F.size("sims") < k, F.lit(-2.0).cast("float")).otherwise(F.array_min("sims")).alias("worst"))
     known = blocks.select("node", "x").join(worst, "node", "left").select(F.col("node").alias("id"), "x", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
-    fetched = needed.join(known, "id").select("block", "id", "x", "worst")
+    fetched = needed.join(known, "id").select(F.col("block").alias("at"), "id", "x", "worst")
 
     def meet(lists, members):
         import pyarrow as pa
@@ -266,7 +267,7 @@ def descend(graph: DataFrame, blocks: DataFrame, k: int = K) -> DataFrame:
         nodes, starts, others, sims = best_lists(*out, k)
         return pa.Table.from_batches([list_batch(name[nodes], starts, name[others], sims)])
 
-    return around.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(meet, LISTS)
+    return around.groupBy("block").cogroup(fetched.groupBy("at")).applyInArrow(meet, LISTS)
 
 
 def build(units: DataFrame, n: int, scratch: Scratch, rounds: int = ROUNDS, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -331,10 +332,10 @@ def search(starts: DataFrame, graph: DataFrame, blocks: DataFrame, n_queries: in
         near = scratch.keep(front.join(graph.select("node", "ids"), "node").select("qblock", "q", F.explode("ids").alias("id")).distinct(), "near")
         if not near.limit(1).count():
             break
-        fetched = near.select("qblock", "id").distinct().join(blocks.select(F.col("node").alias("id"), "x"), "id").select("qblock", "id", "x")
+        fetched = near.select("qblock", "id").distinct().join(blocks.select(F.col("node").alias("id"), "x"), "id").select(F.col("qblock").alias("at"), "id", "x")
         grouped = near.groupBy("q").agg(F.collect_list("id").alias("near")).withColumnRenamed("q", "node")
         beams = state.join(grouped, "node", "left")
-        new = scratch.keep(beams.groupBy("qblock").cogroup(fetched.groupBy("qblock")).applyInArrow(advance, STATE), "beams")
+        new = scratch.keep(beams.groupBy("qblock").cogroup(fetched.groupBy("at")).applyInArrow(advance, STATE), "beams")
         scratch.drop(state)
         scratch.drop(near)
         state = new
