@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, fold_by, slices, small_batches, table
+from .common import LOWER, UPPER, Scratch, fold_by, give_back, slices, small_batches, table
 from .shingles import M1, M2, mix, shingle_sets, signatures, signed
 
 BUCKET_BITS = 22
@@ -88,7 +88,8 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
-                sketch += np.bincount(buckets_of(h), minlength=BUCKETS).astype(np.int32)
+                at, more = np.unique(buckets_of(h), return_counts=True)
+                sketch[at] += more.astype(np.int32)
                 size = len(ends) - 1
                 part = np.repeat(np.arange(size), np.diff(ends)) * SHAPE + (h % np.uint64(SHAPE)).astype(np.int64)
                 shape = np.bincount(part, minlength=size * SHAPE).astype(np.int32)
@@ -97,6 +98,8 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         blocks = [k for k in range(BUCKETS // BLOCK) if sketch[k * BLOCK : (k + 1) * BLOCK].any()]
         packed = [zlib.compress(sketch[k * BLOCK : (k + 1) * BLOCK].astype("<i8").tobytes(), 1) for k in blocks]
         none, m = pa.nulls(len(blocks), pa.int64()), len(blocks)
+        del sketch
+        give_back()
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(m, pa.list_(pa.int32())), pa.array(blocks, pa.int32()), pa.array([TaskContext.get().partitionId()] * m, pa.int64()), pa.array(packed, pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th")).mapInArrow(count, "doc_id long, th long, n long, node long, shape array<int>, block int, task long, counts binary")
@@ -170,6 +173,7 @@ def entries(docs: DataFrame, n: int, share: Share, ranks: np.ndarray, frequent:
                     sizes.append(np.full(len(found), size, np.int32))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(nodes))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "node", "size", "pos"])
+        give_back()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(index, "key long, node long, size int, pos int")
 
@@ -187,6 +191,7 @@ def sets_of(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
             for batch in slices(whole.filter(pa.array(ours)), "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(h, ends))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(h)))], names=["node", "tokens"])
+        give_back()
 
     return docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("th")).mapInArrow(pick, "node long, tokens array<long>")
 
