@@ -30,14 +30,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, small_batches, table
+from .common import Scratch, crc_mod, give_back, small_batches, table
 from .shingles import shingle_sets, signed
 
 FIT_ROWS = 4000
 LEAST, MOST = 3, 12  # letters of a learnt word beginning
-SUPPORT = 4  # toxic training rows that an entry is seen in, at least; a hundredth of them if that is more
+SUPPORT = 4  # toxic training rows that an entry is seen in, at least; a fiftieth of them if that is more
 MANY = 100
+LEAST_ODDS = 2.0
 ENTRIES = 20_000
+KEEP_TOKENS = 150_000  # in a task
 CUT = 0.3
 
 #: Words of the grammar in English, German, French and Spanish.
@@ -81,6 +83,7 @@ class Grammar:
         self.insults = WordMachine(entries)
         self.fixed = {w: k for k, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATE, NEGATIONS), (REPORT, REPORTS)) for w in words}
         self.met: dict[str, tuple[int, float, bool, bool]] = {}
+        self.same: dict[tuple, tuple] = {}  # one object for equal readings
 
     def read(self, token: str) -> tuple[int, float, bool, bool]:
         """Class and weight of a token, if it opens a quotation, and if it ends a clause."""
@@ -91,7 +94,8 @@ class Grammar:
             weight = self.insults.weight(word) if word else 0.0
             kind = INSULT if weight > 0 else self.fixed.get(word, NONE)
             found = (kind, weight or 1.0, token[:1] in QUOTES, token[-1:] in STOPS or any(s in token[:-1] for s in ".!?"))
-            if len(self.met) > 400_000:
+            found = self.same.setdefault(found, found)
+            if len(self.met) > KEEP_TOKENS:
                 self.met.clear()
             self.met[token] = found
         return found
@@ -148,17 +152,33 @@ def odds(t: int, c: int, toxic: int, clean: int) -> float:
     return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
 
-def lexicon(found: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> list[tuple[str, bool, float]]:
+def lexicon(found: list[tuple[str, bool, int, int]], toxic: int, clean: int, support: int) -> list[tuple[str, bool, float]]:
     """Entries from (word or beginning, if it is a beginning, toxic and clean rows with it).
 
-    A beginning stands for all words with it, so that its longer forms are left out.
+    A beginning stands for all words with it. It gives way to its longer forms and the word itself if
+    its other words would not make an entry, and either it has but one form or clean rows have it too.
     """
-    out, taken = [], set()
-    for w, open_, t, c in sorted(found, key=lambda x: (not x[1], len(x[0]), x[0])):
-        if not any(w[:n] in taken for n in range(LEAST, len(w) + 1)):
-            out.append((w, open_, odds(t, c, toxic, clean)))
-            if open_:
-                taken.add(w)
+    begins = {w: (t, c) for w, open_, t, c in found if open_}
+    whole = {w: (t, c) for w, open_, t, c in found if not open_}
+    longer: dict[str, list[str]] = {}
+    for w in sorted(begins):
+        longer.setdefault(w[:-1], []).append(w)
+
+    def entries(w: str) -> Iterator[tuple[str, bool, float]]:
+        (t, c), forms = begins[w], longer.get(w, [])
+        parts = [begins[f] for f in forms] + ([whole[w]] if w in whole else [])
+        t_rest, c_rest = (max(0, x - sum(p[k] for p in parts)) for k, x in enumerate((t, c)))
+        rest = t_rest >= support and odds(t_rest, c_rest, toxic, clean) >= LEAST_ODDS
+        if not rest and (c > 0 and parts or len(parts) == 1):
+            for f in forms:
+                yield from entries(f)
+            if w in whole:
+                yield w, False, odds(*whole[w], toxic, clean)
+        else:
+            yield w, True, odds(t, c, toxic, clean)
+
+    out = [e for w in begins if w[:-1] not in begins for e in entries(w)]
+    out += [(w, False, odds(t, c, toxic, clean)) for w, (t, c) in whole.items() if not any(w[:n] in begins for n in range(LEAST, len(w) + 1))]
     return sorted(out, key=lambda x: (-x[2], x[0]))[:ENTRIES]
 
 
@@ -236,14 +256,14 @@ def fit(labelled: DataFrame) -> Model:
     apart = toxic >= 4 * MANY
     own = some.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 0) if apart else some
     toxic, clean = (toxic // 2, clean // 2) if apart else (toxic, clean)
-    support = max(SUPPORT, toxic // 100)
-    fits = (F.col("t") >= support) & (F.col("t") * max(clean, 1) > 4 * F.col("c") * toxic) & (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)) >= 2.0)
+    support = max(SUPPORT, toxic // 50)
+    fits = (F.col("t") >= support) & (F.col("t") * max(clean, 1) > 4 * F.col("c") * toxic) & (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)) >= LEAST_ODDS)
     core = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
     words = own.select("toxic", F.explode(core).alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     stems = words.select(F.explode(F.transform(F.sequence(F.lit(LEAST), F.least(F.length("w"), F.lit(MOST))), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"), "t", "c")
     begins = stems.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(fits).withColumn("open", F.lit(True))
     both = begins.unionByName(words.where(fits).withColumn("open", F.lit(False))).orderBy(F.desc("t"), "w", "open").limit(4 * ENTRIES)
-    entries = lexicon([(r["w"], r["open"], r["t"], r["c"]) for r in both.toArrow().to_pylist()], toxic, clean)
+    entries = lexicon([(r["w"], r["open"], r["t"], r["c"]) for r in both.toArrow().to_pylist()], toxic, clean, support)
     rest = some.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 1) if apart else some
 
     def features(batches: Iterator) -> Iterator:
@@ -274,6 +294,8 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
         for batch in batches:
             p = model.score(grammar.features(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
+        del grammar
+        give_back()
 
     return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
