@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, small_batches, table
-from .tokens import vocabulary_path, word_ids
+from .common import Scratch, give_back, slices, small_batches, table
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, vocabulary_path, word_ids
 
 CAPACITY = 2048
 FAN = 8
@@ -68,7 +68,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
 
         words = word_ids(path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", ENCODE_BYTES):
                 ids, ends = words.encode(batch.column("text"))
                 names, rows = batch.column("doc_id").to_pylist(), []
                 for d, a, b in zip(names, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -76,6 +76,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                     rows += [(d, k, s, min(capacity, len(own) - s), zlib.crc32(own[s : s + capacity].tobytes())) for k, s in enumerate(range(0, len(own), capacity))]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -112,8 +113,8 @@ def pack_local(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK)
     return pieces.mapInArrow(fill, PACKED)
 
 
-def merge_round(rest: DataFrame, level: int, capacity: int, slack: int) -> DataFrame:
-    """Packs the underfull bins of FAN groups at a time, whole bins as items."""
+def merge_round(rest: DataFrame, level: int, capacity: int, slack: int, fan: int = FAN) -> DataFrame:
+    """Packs the underfull bins of fan groups at a time, whole bins as items."""
 
     def merge(t):
         import pyarrow as pa
@@ -125,7 +126,7 @@ def merge_round(rest: DataFrame, level: int, capacity: int, slack: int) -> DataF
         size = np.array(filled, np.int64)[bins][of]
         new = {
             "level": np.full(len(of), level, np.int32),
-            "grp": grp // FAN,
+            "grp": grp // fan,
             "bin": bins[of],
             "size": size,
             "offset": t["offset"].to_numpy() + places[of],
@@ -134,7 +135,7 @@ def merge_round(rest: DataFrame, level: int, capacity: int, slack: int) -> DataF
         names = t.schema.names
         return pa.Table.from_arrays([pa.array(new[c]) if c in new else t[c] for c in names if c != "up"], names=[c for c in names if c != "up"])
 
-    return rest.withColumn("up", F.floor(F.col("grp") / FAN)).groupBy("up").applyInArrow(merge, PACKED)
+    return rest.withColumn("up", F.floor(F.col("grp") / fan)).groupBy("up").applyInArrow(merge, PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, fan: int = FAN) -> DataFrame:
@@ -151,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, fan: int = FAN) -> DataFra
             break
         finished.append(table_.where("done"))
         level, slack = level + 1, min(slack * 4, capacity // 2)
-        table_ = scratch.keep(merge_round(rest, level, capacity, slack), f"merge{level}")
+        table_ = scratch.keep(merge_round(rest, level, capacity, slack, fan), f"merge{level}")
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
@@ -160,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, fan: int = FAN) -> DataFra
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODE_ROWS)
     return pack(pieces_of(docs, path or vocabulary_path(), capacity), capacity)
 
 

@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, small_batches, table
-from .tokens import vocabulary_path, word_ids
+from .common import Scratch, give_back, slices, small_batches, table
+from .tokens import ENCODE_BYTES, ENCODE_ROWS, vocabulary_path, word_ids
 
 END_ID = 1
 STRIDE = 1000
@@ -37,7 +37,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = END_ID) -> None:
 
         part, before, words = TaskContext.get().partitionId(), 0, word_ids(path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", ENCODE_BYTES):
                 ids, ends = words.encode(batch.column("text"))
                 n = len(ends) - 1
                 more = np.insert(ids, ends[1:], end_id)
@@ -47,6 +47,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = END_ID) -> None:
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
                 before += int(at[-1])
+        give_back()
 
     ranges = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     (
@@ -86,7 +87,7 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, ENCODE_ROWS)
     to = Scratch(spark, "tokens").path("orc")
     write(table(spark, sf_dir, "documents"), to, vocabulary_path())
     return digests(read(spark, to))
