@@ -50,3 +50,33 @@ def plot_intervals(ci: DataFrame, to: str, label: str = "strategy") -> None:
     ax.legend()
     fig.savefig(to)
     plt.close(fig)
+
+
+def plot_first_direction(records: DataFrame, folder: str) -> list[str]:
+    """A scatter of final_unseeded over H0 with the fitted line for each strategy, drawn on the driver from trial records. Needs matplotlib."""
+    import matplotlib
+
+    matplotlib.use("Agg")
+    import matplotlib.pyplot as plt
+
+    lines = {r["strategy"]: r for r in stats.linear_fit(records).join(stats.pearson_h0(records), "strategy").collect()}
+    ends = records.groupBy("strategy").agg(F.min("H0").alias("low"), F.max("H0").alias("high")).collect()
+    out = []
+    for e in ends:
+        line = lines[e["strategy"]]
+        points = records.where(F.col("strategy") == e["strategy"]).select("H0", "final_unseeded").toPandas()
+        fig, ax = plt.subplots()
+        ax.scatter(points["H0"], points["final_unseeded"])
+        if line["slope"] is not None:
+            ax.plot([e["low"], e["high"]], [line["slope"] * x + line["intercept"] for x in (e["low"], e["high"])])
+        known = "undefined" if line["pearson"] is None else f"{line['pearson']:.4f}"
+        ax.set_title(f"{e['strategy']}, correlation {known}")
+        out.append(f"{folder}/{e['strategy']}.png")
+        fig.savefig(out[-1])
+        plt.close(fig)
+    return out
+
+
+def console_summary(summary: DataFrame) -> str:
+    """strategy_report() as text."""
+    return "\n".join(r["line"] for r in stats.strategy_report(summary).orderBy("strategy").collect())

@@ -63,3 +63,9 @@ def test_first_direction_records(spark):
 
 def test_every_oracle_has_a_query():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_console_summary(spark):
+    made = stats.h0_summary(queries.records(spark))
+    lines = sinks.console_summary(made).splitlines()
+    assert len(lines) == 4 and all(line.startswith("strategy ") and len(line) == 60 for line in lines)
