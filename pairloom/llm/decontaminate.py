@@ -137,9 +137,9 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mode: str
     same = docs["doc_id"].eqNullSafe(found["hit_id"]) & (F.xxhash64(docs["text"]) == found["hit_th"])
     if mode == "document":
         return docs.join(found.select("hit_id", "hit_th"), same, "left_anti")
-    inside = lambda i: F.exists("hit_spans", lambda s: (s["i"] <= i) & (i < s["i"] + s["len"]))
+    inside = lambda i: F.exists(found["hit_spans"], lambda s: (s["i"] <= i) & (i < s["i"] + s["len"]))
     left = F.filter(words(docs["text"]), lambda x, i: ~inside(i))
-    text = F.when(F.col("hit_id").isNull() & F.col("hit_th").isNull(), docs["text"]).otherwise(F.array_join(left, " "))
+    text = F.when(found["hit_th"].isNull(), docs["text"]).otherwise(F.array_join(left, " "))
     return docs.join(found, same, "left").select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

@@ -11,7 +11,7 @@ import pytest
 
 from pairloom.llm import decontaminate, jaccard, language, lm, packing, quality, token_files, tokens, toxicity, url_filter
 
-DOCS = "doc_id bigint, text string, lang string, score string, node string"
+DOCS = "doc_id bigint, text string, lang string, hit_id string, node string"
 LOW = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
 LONG = " ".join(f"w{k % 997}" for k in range(20_000))
 
