@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches, table
 
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 BUCKETS = 1 << 13
 EXHAUSTIVE = 6  # up to so many languages, all two-way splits are bits
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
@@ -89,16 +89,16 @@ class Codes:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_codes(names: list[str], counts: np.ndarray, which: np.ndarray) -> Codes:
-    """Logistic regression for each bit, by full-batch gradient steps with momentum."""
+def fit_codes(names: list[str], x: np.ndarray, which: np.ndarray) -> Codes:
+    """Logistic regression for each bit on rows of normal(), by full-batch gradient steps with momentum."""
     code = codewords(len(names))
-    x, y = normal(counts), code[which]
+    y = code[which].astype(np.float32)
     share = np.bincount(which, minlength=len(names)).astype(float)
-    row = (1 / share[which] / len(names))[:, None]
+    row = (1 / share[which] / len(names))[:, None].astype(np.float32)
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(STEPS if len(names) > 1 else 0):
-        g = (-y * row / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
+        g = -y * row / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
         vw = 0.9 * vw - RATE * (x.T @ g + DECAY * w)
         vb = 0.9 * vb - RATE * g.sum(0)
         w, b = w + vw, b + vb
@@ -131,10 +131,11 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Codes | None:
     names = sorted(set(got["lang"].to_pylist()))
     if not names:
         return None
-    x = np.zeros((got.num_rows, BUCKETS), np.float32)
-    for k, raw in enumerate(got["x"].to_pylist()):
-        at, n = np.frombuffer(raw, "<u4").reshape(2, -1)
-        x[k, at] = n
+    x = np.zeros((got.num_rows, BUCKETS), np.float32)  # the one large table on the driver: FIT_ROWS times BUCKETS numbers
+    for k, raw in enumerate(got["x"]):
+        at, n = np.frombuffer(raw.as_buffer(), "<u4").reshape(2, -1)
+        own = np.sqrt(n)
+        x[k, at] = own / max(float(np.linalg.norm(own)), 1e-9)
     return fit_codes(names, x, np.searchsorted(names, got["lang"].to_pylist()))
 
 
