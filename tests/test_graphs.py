@@ -122,6 +122,39 @@ def test_batched_percolation(spark):
     assert percolation.match_ratio_unseeded(p.truth, found, s).first()[0] <= 1
 
 
+def batched(a, b, pairs, expand=True, r=2):
+    """percolation.percolate by brute force: matrices and loops."""
+    out, marks, before = dict(pairs), np.zeros((len(a), len(b)), int), None
+    sources = list(pairs)
+    while True:
+        for i, j in sources:
+            marks[np.ix_(a[i] > 0, b[j] > 0)] += 1
+        open_ = [(i, j) for i, j in np.argwhere(marks).tolist() if i not in out and j not in out.values()]
+        key = {(i, j): (-marks[i, j], abs(a[i].sum() - b[j].sum()), i, j) for i, j in open_ if marks[i, j] >= r}
+        best_i = {i: min(v for k, v in key.items() if k[0] == i) for i, _ in key}
+        best_j = {j: min(v for k, v in key.items() if k[1] == j) for _, j in key}
+        sources = [k for k, v in key.items() if v == best_i[k[0]] == best_j[k[1]]]
+        if not sources:
+            sources = [k for k in open_ if marks[k] < r]
+            if not expand or not sources or sources == before:
+                return out
+            before = sources
+        else:
+            out |= dict(sources)
+
+
+def test_batched_percolation_expands_when_stuck(spark):
+    rng = np.random.default_rng(3)
+    a, b, truth = graphs.er(rng, 60, 0.08, 0.9)
+    chosen = np.argsort(-a.sum(1), kind="stable")[:3]
+    pairs = [(int(i), int(truth[i])) for i in chosen]
+    want, stuck = batched(a, b, pairs), batched(a, b, pairs, expand=False)
+    assert len(want) > len(stuck)
+    edges = lambda m: spark.createDataFrame(np.argwhere(m).tolist(), "src bigint, dst bigint")
+    found = percolation.percolate(spark.range(60), edges(a), edges(b), spark.createDataFrame(pairs, "a bigint, b bigint"))
+    assert {x.a: x.b for x in found.collect() if x.b is not None} == want
+
+
 def test_isolated_and_disconnected(spark):
     v, none = spark.range(4), spark.createDataFrame([], "src bigint, dst bigint")
     for df in (scores.degree(v, none), scores.triangles(v, none), scores.jaccard_neighborhood(v, none), scores.betweenness(v, none), scores.neighbor_degree(v, none)):
