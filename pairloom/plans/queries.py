@@ -15,7 +15,7 @@ from pairloom.sources import coorder, generate
 from pairloom.sources.generate import Pair
 
 from . import experiments, stats
-from .experiments import Runner, Scenario
+from .experiments import Runner
 
 K = 20
 N_BLOCKS = 25  # brands
@@ -604,44 +604,37 @@ def job_grid(spark, sf_dir):
     return experiments.job_grid(spark)
 
 
-# Experiments: small editions of the catalogue's, as a trial of 600 vertices takes seconds
-
-TINY = [
-    Scenario("tiny er", "er", {"n": 120, "p": 0.2, "rho": 0.8}, "sgm", ["random_seeds", "highest_degree_seeds", "triangle_degree_ratio_seeds"], [0, 5, 10], 4),
-    Scenario("tiny sbm", "sbm", {"n_per_block": 40, "n_blocks": 3, "rho": 0.8}, "percolation", ["random_seeds", "blocked_random_seeds", "neighbor_degree_seeds"], [5, 12], 4, [[0.5, 0.2, 0.2], [0.2, 0.5, 0.2], [0.2, 0.2, 0.5]]),
-    Scenario("tiny paper", "paper", {"n": 120, "alpha": 2.5, "p": 0.05, "rho": 0.9}, "percolation", ["random_seeds", "betweenness_seeds"], [6, 12], 4),
-]
+# Experiments: the published scenarios and the operators' defaults
 
 
 @query()
 def experiment_paired(spark, sf_dir):
-    return Runner(TINY).facts(spark).drop("cpu_seconds")
+    return Runner(experiments.SCENARIOS).facts(spark).drop("cpu_seconds")
 
 
 @query()
 def experiment_unpaired(spark, sf_dir):
-    return Runner(TINY, paired=False).facts(spark).drop("cpu_seconds")
+    return Runner(experiments.SCENARIOS, paired=False).facts(spark).drop("cpu_seconds")
 
 
 @query()
 def experiment_algorithms(spark, sf_dir):
-    return Runner(TINY[:1], algorithms=["sgm", "percolation", "percolation_no_expansion"]).facts(spark).drop("cpu_seconds")
+    return Runner(experiments.SCENARIOS, algorithms=["sgm", "percolation", "percolation_no_expansion"]).facts(spark).drop("cpu_seconds")
 
 
 @query()
 def sweep(spark, sf_dir):
-    return stats.accuracy_ci(Runner(TINY).facts(spark), ["scenario", "strategy", "algorithm", "seed_count"])
+    return stats.accuracy_ci(Runner(experiments.SCENARIOS).facts(spark), ["scenario", "strategy", "algorithm", "seed_count"])
 
 
 @query()
 def sgm_match(spark, sf_dir):
-    one = [Scenario("sgm", "er", {"n": 120, "p": 0.2, "rho": 0.9}, "sgm", ["random_seeds"], [12], 4)]
-    return Runner(one).facts(spark).drop("cpu_seconds")
+    return Runner([s for s in experiments.SCENARIOS if s.algorithm == "sgm"]).facts(spark).drop("cpu_seconds")
 
 
 @query()
 def h0_records(spark, sf_dir):
-    return experiments.FirstDirection("er", {"n": 120, "p": 0.2, "rho": 0.8}, ["random_seeds"], 12, 8).records(spark)
+    return experiments.paired_er(0.8).records(spark)
 
 
 @query()
@@ -656,9 +649,9 @@ def first_direction_ratio(spark, sf_dir):
 
 @query()
 def paired_er(spark, sf_dir):
-    return stats.h0_summary(experiments.paired_er(0.8, n=120, n_seeds=12, trials=8).records(spark))
+    return stats.h0_summary(experiments.paired_er(0.8).records(spark))
 
 
 @query()
 def paired_sbm(spark, sf_dir):
-    return stats.h0_summary(experiments.paired_sbm(0.8, n_per_block=40, n_seeds=12, trials=8).records(spark))
+    return stats.h0_summary(experiments.paired_sbm(0.8).records(spark))

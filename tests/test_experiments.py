@@ -69,3 +69,25 @@ def test_console_summary(spark):
     made = stats.h0_summary(queries.records(spark))
     lines = sinks.console_summary(made).splitlines()
     assert len(lines) == 4 and all(line.startswith("strategy ") and len(line) == 60 for line in lines)
+
+
+def test_queries_run_the_whole_catalogue(spark, monkeypatch):
+    runs, studies = [], []
+
+    class Seen(Runner):
+        def facts(self, spark):
+            runs.append(self)
+            return Runner(TINY, self.paired, self.algorithms).facts(spark)
+
+    def records(self, spark):
+        studies.append(self)
+        return spark.createDataFrame([], experiments.RECORD)
+
+    monkeypatch.setattr(queries, "Runner", Seen)
+    monkeypatch.setattr(experiments.FirstDirection, "records", records)
+    for name in ("experiment_paired", "experiment_unpaired", "experiment_algorithms", "sweep", "sgm_match", "h0_records", "paired_er", "paired_sbm"):
+        queries.QUERIES[name](spark, "")
+    sgm = [s for s in experiments.SCENARIOS if s.algorithm == "sgm"]
+    assert [r.scenarios for r in runs] == [experiments.SCENARIOS] * 4 + [sgm]
+    assert [(s.n_seeds, s.trials) for s in studies] == [(20, 100)] * 3
+    assert [s.params.get("n", 3 * s.params.get("n_per_block", 0)) for s in studies] == [300] * 3
