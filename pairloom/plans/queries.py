@@ -282,7 +282,7 @@ def spectral_embedding(spark, sf_dir):
 
         for batch in batches:
             for g in batch["id"]:
-                a, _, _ = graphs.er(np.random.default_rng([SEED, int(g)]), n=150, p=0.2)
+                a, _, _ = graphs.er(np.random.default_rng([SEED, int(g)]), n=600, p=0.2)
                 yield pd.DataFrame({"graph": int(g), "id": np.arange(len(a)), "uniqueness": graphs.spectral_unique(a)})
 
     return spark.range(4).repartition(4).mapInPandas(embed, "graph bigint, id bigint, uniqueness double")
@@ -338,6 +338,13 @@ def seeds_betweenness(spark, sf_dir):
     return seeds.betweenness(p.vertices, p.a, K, p.truth)
 
 
+@query()
+def seeds_betweenness_coorder(spark, sf_dir):
+    """No SQL: unrolled levels over the whole pair are too dear. A test holds it to brute force."""
+    p = pair(spark, sf_dir)
+    return seeds.betweenness(p.vertices, p.a, K, p.truth)
+
+
 def branded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, block: parts by brand, from 0 in the order of the brands' names."""
     parts = coorder.parts(spark, sf_dir)

@@ -161,3 +161,41 @@ def test_isolated_and_disconnected(spark):
         assert [r[1] for r in df.collect()] == [0] * 4
     lone = graphs.embedding(np.zeros((5, 5)))
     assert np.isfinite(lone).all()
+
+
+def test_betweenness_seeds_of_the_whole_pair(spark, monkeypatch):
+    from itertools import combinations
+
+    from pairloom.plans import queries
+
+    p = generate.er_pair(spark, 30, 0.12, 0.8)
+    monkeypatch.setattr(queries, "pair", lambda spark, sf_dir: p)
+    got = {r.a: (r.b, r.seed_rank) for r in queries.QUERIES["seeds_betweenness_coorder"](spark, "").collect()}
+    near = {v: set() for v in range(30)}
+    for e in p.a.collect():
+        near[e.src].add(e.dst)
+
+    def shortest(s, t):
+        paths, seen = [[s]], {s}
+        while paths:
+            if done := [q for q in paths if q[-1] == t]:
+                return done
+            paths = [[*q, v] for q in paths for v in near[q[-1]] if v not in seen]
+            seen |= {q[-1] for q in paths}
+        return []
+
+    score = dict.fromkeys(range(30), 0.0)
+    for s, t in combinations(range(30), 2):
+        found = shortest(s, t)
+        for q in found:
+            for v in q[1:-1]:
+                score[v] += 2 / len(found) / (29 * 28)
+    truth = {r.a: r.b for r in p.truth.collect()}
+    order = sorted(score, key=lambda v: (-round(score[v], scores.DIGITS), v))[: queries.K]
+    assert got == {v: (truth[v], k) for k, v in enumerate(order, 1)}
+
+
+def test_spectral_queries_have_the_references_size(spark):
+    from pairloom.plans import queries
+
+    assert queries.QUERIES["spectral_embedding"](spark, "").where("graph = 0").count() == 600
