@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +72,11 @@ def adjacency_list(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(near, "id", "left").select("id", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
 
 
-def bfs_levels(vertices: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def bfs_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """s, v, dist, sigma: distance from s to v, and how many shortest paths there are. A level is a join and an anti join."""
     level = vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("bigint").alias("dist"), F.lit(1).cast("bigint").alias("sigma"))
     seen = level
-    for d in range(1, most + 1):
+    for d in count(1):  # each level reaches new pairs, or is the last
         step = level.join(edges, level["v"] == edges["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
         level = step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d).cast("bigint").alias("dist"), "sigma").checkpoint()
         if not level.limit(1).count():

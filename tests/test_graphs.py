@@ -199,3 +199,10 @@ def test_spectral_queries_have_the_references_size(spark):
     from pairloom.plans import queries
 
     assert queries.QUERIES["spectral_embedding"](spark, "").where("graph = 0").count() == 600
+
+
+def test_paths_of_a_long_chain(spark):
+    chain = [(k, k + 1) for k in range(66)]
+    edges = spark.createDataFrame(chain, "src bigint, dst bigint").coalesce(1).checkpoint()
+    got = scores.bfs_levels(spark.range(0, 1, 1, 1), edges).select("v", "dist", "sigma").collect()
+    assert sorted(map(tuple, got)) == [(k, k, 1) for k in range(67)]
