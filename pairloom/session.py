@@ -30,11 +30,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return ship(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. On one machine, where none is set (tests), one of its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="pairloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def checkpoints(spark: SparkSession) -> SparkSession:
-    """Makes checkpoint() write to the folder that the session names, or, where none is set (tests), to one of its own."""
+    """Makes checkpoint() write to the shared folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairloom-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return spark
 
 
