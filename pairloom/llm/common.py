@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from pairloom.session import ship
+from pairloom.session import shared_folder, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -39,17 +39,21 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 class Scratch:
     """Tables in the folder that all executors share (spark.checkpoint.dir).
 
-    A written table cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
+    A written table cuts the lineage: a lost executor costs the tasks it ran, not the stages before. What a
+    result is still read from stays until the application ends, which deletes the folder.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="pairloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.root = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+        self.n, self.kept = 0, []
+        fs, at = self.place(self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def place(self, to: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(to)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -61,18 +65,88 @@ class Scratch:
         df.write.options(**options).parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out.scratch_path = to  # type: ignore[attr-defined]
+        self.kept.append(out)
         return out
 
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a kept table that nothing will read again."""
         to = getattr(df, "scratch_path", None)
         if to:
+            self.kept = [x for x in self.kept if x.scratch_path != to]
             self.delete(to)
 
+    def drop_but(self, *needed: DataFrame | None) -> None:
+        """Deletes all kept tables but those that a result is read from."""
+        stay = {getattr(x, "scratch_path", None) for x in needed}
+        for df in [x for x in self.kept if x.scratch_path not in stay]:
+            self.drop(df)
+
     def delete(self, to: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(to)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = self.place(to)
+        fs.delete(at, True)
+
+
+def rarity(key: Column) -> Column:
+    """Leading zeros of a hash of key, from 0 to 62: one key in 2**j has j or more."""
+    return 63 - F.length(F.bin(F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1))))
+
+
+def thinned(rows: DataFrame, by: str, total: int, key: Column) -> tuple[DataFrame, int]:
+    """rows of few keys, chosen by rarity(), and each: total over the number of values of by.
+
+    Of each value (of the total commonest) at least each rows are there if it has them, and less than some
+    2 * each unless keys repeat; bounded() cuts those.
+    """
+    met = rows.where(F.col(by).isNotNull()).groupBy(by, rarity(key).alias("zeros")).count()
+    values = met.groupBy(by).agg(F.sum("count").alias("n"), F.collect_list(F.struct("zeros", "count")).alias("parts"))
+    found = values.orderBy(F.desc("n"), by).limit(total).collect()
+    each, cuts = total // max(1, len(found)), []
+    for r in found:
+        count, left, cut = dict(map(tuple, r["parts"])), 0, 0
+        for zeros in range(62, -1, -1):
+            left += count.get(zeros, 0)
+            if left >= each:
+                cut = zeros
+                break
+        cuts.append((r[by], cut))
+    least = rows.sparkSession.createDataFrame(cuts, StructType([rows.schema[by], StructField("cut", IntegerType())]))
+    return rows.join(F.broadcast(least), by).where(rarity(key) >= F.col("cut")).select(*rows.columns), each
+
+
+def bounded(rows: DataFrame, by: str, each: int, parts: int = 32) -> DataFrame:
+    """Of each value of by, the each rows of least hash of doc_id and text, whatever ids or texts repeat.
+
+    A task keeps its own each, then each part of what tasks kept, so that the last step sorts
+    parts * each rows of a value at most.
+    """
+
+    def least(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def best(t):
+            codes = t[by].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            order = np.lexsort((t["h"].to_numpy(), codes))
+            first = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            return t.take(pa.array(np.sort(order[rank < each])))
+
+        held, most = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows > most:
+                held = best(held)
+                most = 2 * held.num_rows + BATCH_ROWS
+        if held is not None:
+            yield from best(held).to_batches()
+
+    hashed = rows.where(F.col(by).isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    some = hashed.mapInArrow(least, hashed.schema).repartition(parts).mapInArrow(least, hashed.schema)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("h"))
+    return some.withColumn("place", place).where(F.col("place") <= each).drop("h", "place")
 
 
 def fold_by(rows: DataFrame, key: str, fold: Callable, fan: int = 32) -> DataFrame:

@@ -5,10 +5,11 @@ and three bytes of the lower-cased text, with each stretch of non-letters as one
 the text's language has it. A text gets the language whose codeword has the least loss, where a bit's
 logistic loss is weighted by how often that bit was right on training rows of that language.
 
-The classifiers are fitted on at most about FIT_ROWS labelled rows, dealt evenly to the languages by a
-hash of doc_id; whole texts of all documents are scored. Null texts and those without a letter are 'und'
+The classifiers are fitted on at most FIT_ROWS labelled rows, as many of each language (those of least
+hash of doc_id and text, of the FIT_ROWS commonest languages); whole texts of all documents are scored. Null texts and those without a letter are 'und'
 with score 0, as is everything if no labelled row is there. Repeated rows are scored alike. Empty table:
-no rows. Only doc_id and text are read for a prediction; nulls in lang are left out of training.
+no rows. Only doc_id and text are read for a prediction; nulls in lang are left out of training. A doc_id
+that repeats brings all its rows to the fit, within its bound.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
+from .common import bounded, crc_mod, small_batches, table, thinned
 
 FIT_ROWS = 3000
 BUCKETS = 1 << 13
@@ -109,13 +110,11 @@ def fit_codes(names: list[str], x: np.ndarray, which: np.ndarray) -> Codes:
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Codes | None:
     """docs: doc_id, text, lang, already without held-out rows."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
-    if not counts:
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    some, each = thinned(known, "lang", rows, F.col("doc_id"))
+    if not each:
         return None
-    each, million = rows / len(counts), 1_000_000
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, each / n) * million))) for k, n in sorted(counts.items())])
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share).select("lang", "text")
+    some = bounded(some, "lang", each).select("lang", "text")
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa

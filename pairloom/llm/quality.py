@@ -2,15 +2,16 @@
 
 1. STATISTICS are columns over a text (word and line repetition, symbols, capitals, lengths), built from
    DataFrame functions only.
-2. On at most about FIT_ROWS labelled rows (dealt evenly to the labels by a hash of doc_id), boosted
-   shallow trees are grown over the statistics; each path from a root to a node is a rule: a conjunction
-   of comparisons.
+2. On at most FIT_ROWS labelled rows (as many of each label, those of least hash of doc_id and text),
+   boosted shallow trees are grown over the statistics; each path from a root to a node is a rule: a
+   conjunction of comparisons.
 3. A logistic model with an L1 penalty over the rules and the scaled statistics keeps few of them.
 4. The kept rules become one column expression, which scores all documents in the scan.
 
 Null and empty texts have all statistics 0 and are scored like other texts. If the labelled rows hold
 fewer than two labels, the score is the label's rate (0.5 without rows). Repeated rows are scored alike.
-Empty table: no rows. Only text is an input of a score.
+A doc_id with several texts or labels brings all of them to the fit, within its bound. Empty table: no
+rows. Only text is an input of a score.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import bounded, crc_mod, small_batches, table, thinned
 
 FIT_ROWS = 4000
 TREES, DEPTH, LEAF, SHRINK, BINS = 30, 3, 12, 0.3, 32
@@ -31,7 +32,7 @@ CUT = 0.3
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, at most, bound), all of them
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def statistics() -> dict[str, Column]:
     """Over columns t (the text) and w (its words) that with_statistics() makes."""
     chars = F.greatest(F.length("t"), F.lit(1))
     n_words = F.greatest(F.size("w"), F.lit(1))
@@ -58,7 +59,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     base = docs.withColumn("t", F.coalesce(F.col("text"), F.lit("")))
     base = base.withColumn("w", F.filter(F.split("t", r"\s+"), lambda x: x != "")).withColumn("l", F.split("t", "\n"))
     base = base.withColumn("d", F.array_distinct("w")).withColumn("c", F.filter("w", lambda x, i: (i == 0) | (x != F.get("w", i - 1))))
-    cols = statistics(F.col("t"))
+    cols = statistics()
     return base.withColumn("s", F.struct(*[F.coalesce(c, F.lit(0.0)).cast("double").alias(n) for n, c in cols.items()])).drop("t", "w", "l", "d", "c"), list(cols)
 
 
@@ -184,14 +185,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> Ensemble:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ensemble:
     """labels: doc_id, quality 0 or 1, already without held-out rows."""
-    own = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    counts = {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}
-    million, each = 1_000_000, rows / 2
-    share = F.lit(0)
-    for k, n in sorted(counts.items()):
-        share = F.when(F.col("quality") == k, F.lit(int(min(1.0, each / n) * million))).otherwise(share)
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share).limit(2 * rows)  # about rows
-    stats, names = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+    small_batches(docs.sparkSession)
+    own = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
+    some, each = thinned(own, "quality", rows, F.col("doc_id"))
+    found = bounded(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "quality", each)
+    stats, names = with_statistics(found)
     got = stats.select("quality", "s.*").toPandas().sort_values(["quality", *names])
     return fit_rules(got[names].to_numpy(float), got["quality"].to_numpy(float), names)
 

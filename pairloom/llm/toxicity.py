@@ -1,44 +1,48 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Two layers of machines are composed. The lower one reads the letters of a word: a trie of insults, whose
-entries (whole words and word beginnings) and weights are learnt from labelled rows, next to short fixed
-tables of threats, targets, negations, reporting verbs and articles of speech. It maps each word to a
-class with a weight. The upper one reads the classes of a clause's words, from punctuation to
-punctuation, and emits a weighted match for each insult or threat, by what it has read before:
+Two layers of transducers are composed. The lower one, spelling, reads the letters of a word: a trie whose
+entries are insults (whole words and word beginnings) learnt from labelled rows, and short fixed tables of
+threats, targets, negations and reporting verbs. It maps a word to a class and a weight. The upper one reads
+the classes of a clause, from stop to stop, and is the product of three small machines: one counts the words
+since a negation, one knows if speech is reported, one if somebody is addressed. At each insult or threat it
+emits the states of the three; the clause's end resolves them to a weighted match:
 
     direct    an insult without further context
-    targeted  an insult or threat in a clause with an addressee ("you are a ...")
-    threat    a threatening verb with an addressee
-    negated   an insult at most NEGATION words behind a negation
-    reported  an insult behind a reporting verb or an opening quotation mark
-
-A document's features are, for each kind, the largest and the summed weight of its matches; a logistic
-model over them gives the score. Words outside matched clauses do not count. The lexicon and the model
-are fitted on at most about FIT_ROWS labelled rows of each class, chosen by a hash of doc_id; all
-documents are scored, whole.
-
-Null and empty texts match nothing and get the model's lowest score, as does every text if no labelled
-toxic row is there. Repeated rows are scored alike. Empty table: no rows.
+    targeted  an insult in a clause with an addressee ("you are a ...")
+    threat    a threatening verb in a clause with an addressee
+    negated   either of them a few words (NEGATION + 1 at most) behind a negation
+    reported  either of them behind a reporting verb or an opening quotation mark
+
+A document's features are, for each kind, the largest and the summed weight of its matches; a logistic model
+over them gives the score. Words outside matched clauses do not count. A word's weight is its log odds
+between toxic and clean labelled rows; a threat that they do not have weighs 1.
+
+The lexicon and the model are fitted on at most FIT_ROWS labelled rows of each class, those of least hash of
+doc_id and text. The model's weights come from features of rows that their lexicon has not seen: in each of
+FOLDS parts of the sample, those by the lexicon of the other parts. All documents are scored, whole.
+
+Null and empty texts match nothing and get the model's lowest score, as does every text if the labelled rows
+give no entry. Repeated rows are scored alike. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, give_back, small_batches, table
+from .common import Scratch, bounded, crc_mod, give_back, small_batches, table, thinned
 from .shingles import shingle_sets, signed
 
 FIT_ROWS = 4000
-LEAST, MOST = 3, 12  # letters of a learnt word beginning
-SUPPORT = 4  # toxic training rows that an entry is seen in, at least; a fiftieth of them if that is more
-MANY = 100
+FOLDS = 4
+LEAST, MOST = 3, 12  # letters of a learnt word beginning; longer words are learnt by their beginnings and as wholes
+SUPPORT, SUPPORT_SHARE = 4, 50  # toxic training rows that an entry is seen in, at least; 1 in so many of them if that is more
 LEAST_ODDS = 2.0
-ENTRIES = 20_000
+THREAT_WEIGHT, LEAST_THREAT = 1.0, 0.1  # of a threat that the sample does not have, and the least of one that it has
 KEEP_TOKENS = 150_000  # in a task
 CUT = 0.3
 
@@ -50,16 +54,18 @@ REPORTS = "said says wrote claimed called reported quoted quote according sagte
 
 KINDS = ("direct", "targeted", "threat", "negated", "reported")
 NEGATION = 3
-NONE, INSULT, THREAT, TARGET, NEGATE, REPORT = range(6)
-CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-STOPS = ".,;:!?"
-QUOTES = "\"“„«"
+NONE, INSULT, THREAT, TARGET, NEGATE, REPORT, QUOTE, STOP = range(8)
+SYMBOLS = range(8)
+PARTS = re.compile(r"(?P<word>[^\W\d_]+(?:['’][^\W\d_]+)*)|(?P<stop>[.,;:!?])|(?P<quote>[\"“„«])")
+APOSTROPHES = re.compile("['’]")
+
+Entry = tuple[str, bool, float]
 
 
 class WordMachine:
     """A trie with final weights: '' ends a whole word, '*' accepts whatever follows."""
 
-    def __init__(self, entries: list[tuple[str, bool, float]]):
+    def __init__(self, entries: list[Entry]):
         self.root: dict = {}
         for word, open_, weight in entries:
             at = self.root
@@ -78,44 +84,120 @@ class WordMachine:
         return at.get("", at.get("*", best))
 
 
+State = tuple[int, ...]
+Step = Callable[[int, int], tuple[int, int]]
+
+
+def negation(state: int, symbol: int) -> tuple[int, int]:
+    """State: words since a negation, up to NEGATION + 1. Output: whether the word is negated."""
+    if symbol == NEGATE:
+        return 0, 0
+    return (state if symbol == QUOTE else min(state + 1, NEGATION + 1)), int(state <= NEGATION)
+
+
+def report(state: int, symbol: int) -> tuple[int, int]:
+    """State and output: whether speech is reported."""
+    new = int(state or symbol in (REPORT, QUOTE))
+    return new, new
+
+
+def address(state: int, symbol: int) -> tuple[int, int]:
+    """State and output: whether somebody has been addressed."""
+    new = int(state or symbol == TARGET)
+    return new, new
+
+
+def compose(machines: list[Step], start: State) -> dict[State, list[tuple[State, State]]]:
+    """The product of machines that read the same symbols: for each state that start leads to, a next state and the outputs for each symbol."""
+    arcs: dict[State, list[tuple[State, State]]] = {}
+    reach = [start]
+    while reach:
+        state = reach.pop()
+        if state not in arcs:
+            each = [[step(s, symbol) for step, s in zip(machines, state, strict=True)] for symbol in SYMBOLS]
+            arcs[state] = [(tuple(n for n, _ in x), tuple(o for _, o in x)) for x in each]
+            reach += [n for n, _ in arcs[state]]
+    return arcs
+
+
+START: State = (NEGATION + 1, 0, 0)
+CLAUSES = compose([negation, report, address], START)
+
+
+def kind_of(symbol: int, negated: int, reported: int, addressed: int) -> str | None:
+    """What a match is, from the outputs at its word and the address machine's state at its clause's end."""
+    if symbol == THREAT and not addressed:
+        return None
+    if negated:
+        return "negated"
+    if reported:
+        return "reported"
+    return "threat" if symbol == THREAT else "targeted" if addressed else "direct"
+
+
+#: Index of the kind (or -1) by symbol, negated, reported, addressed.
+RESOLVED = {(s, n, r, a): KINDS.index(k) if (k := kind_of(s, n, r, a)) else -1 for s in (INSULT, THREAT) for n in (0, 1) for r in (0, 1) for a in (0, 1)}
+
+Reading = tuple[tuple[int, float], ...]
+
+
 class Grammar:
-    def __init__(self, entries: list[tuple[str, bool, float]]):
-        self.insults = WordMachine(entries)
-        self.fixed = {w: k for k, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATE, NEGATIONS), (REPORT, REPORTS)) for w in words}
-        self.met: dict[str, tuple[int, float, bool, bool]] = {}
-        self.same: dict[tuple, tuple] = {}  # one object for equal readings
-
-    def read(self, token: str) -> tuple[int, float, bool, bool]:
-        """Class and weight of a token, if it opens a quotation, and if it ends a clause."""
+    """Spelling composed with the clause machine. threats: (word, weight)."""
+
+    def __init__(self, insults: list[Entry], threats: dict[str, float] | None = None):
+        self.spelling = WordMachine(insults)
+        weights = dict.fromkeys(THREATS, THREAT_WEIGHT) | (threats or {})
+        self.fixed = {w: (k, 1.0) for k, words in ((TARGET, TARGETS), (NEGATE, NEGATIONS), (REPORT, REPORTS)) for w in words} | {w: (THREAT, x) for w, x in weights.items()}
+        self.met: dict[str, Reading] = {}
+        self.same: dict[Reading, Reading] = {}  # one object for equal readings
+
+    def word(self, word: str) -> tuple[int, float]:
+        weight = self.spelling.weight(word)
+        return (INSULT, weight) if weight > 0 else self.fixed.get(word, (NONE, 1.0))
+
+    def read(self, token: str) -> Reading:
+        """Classes and weights of all words, stops and quotation marks of a token, in order.
+
+        A word with an apostrophe is one if the grammar has it, else its parts are words of their own.
+        """
         found = self.met.get(token)
         if found is None:
-            core = CORE.search(token.lower())
-            word = core[0] if core else ""
-            weight = self.insults.weight(word) if word else 0.0
-            kind = INSULT if weight > 0 else self.fixed.get(word, NONE)
-            found = (kind, weight or 1.0, token[:1] in QUOTES, token[-1:] in STOPS or any(s in token[:-1] for s in ".!?"))
+            out = []
+            for m in PARTS.finditer(token.lower()):
+                if m["stop"]:
+                    out.append((STOP, 0.0))
+                elif m["quote"]:
+                    out.append((QUOTE, 0.0))
+                elif (whole := self.word(m["word"]))[0] != NONE:
+                    out.append(whole)
+                else:
+                    out += [self.word(x) for x in APOSTROPHES.split(m["word"])]
+            found = tuple(out)
             found = self.same.setdefault(found, found)
             if len(self.met) > KEEP_TOKENS:
                 self.met.clear()
             self.met[token] = found
         return found
 
-    def matches(self, clause: list[tuple[int, float, bool, bool]]) -> Iterator[tuple[int, float]]:
-        """The upper machine: its state is (addressee seen, words since a negation, within reported speech)."""
-        addressed = any(k == TARGET for k, *_ in clause)
-        since, reported = NEGATION + 1, False
-        for kind, weight, quote, _ in clause:
-            reported |= quote
-            if kind == REPORT:
-                reported = True
-            elif kind == NEGATE:
-                since = 0
+    def matches(self, symbols: Iterator[tuple[int, float]]) -> Iterator[tuple[int, float]]:
+        """Kinds and weights of the matches of whole clauses."""
+        state, held = START, []
+
+        def resolved() -> Iterator[tuple[int, float]]:
+            for symbol, negated, reported, weight in held:
+                kind = RESOLVED[symbol, negated, reported, state[2]]
+                if kind >= 0:
+                    yield kind, weight
+
+        for symbol, weight in symbols:
+            if symbol == STOP:
+                yield from resolved()
+                state, held = START, []
                 continue
-            elif kind == INSULT:
-                yield (KINDS.index("negated") if since <= NEGATION else KINDS.index("reported") if reported else KINDS.index("targeted") if addressed else KINDS.index("direct")), weight
-            elif kind == THREAT and addressed:
-                yield KINDS.index("negated") if since <= NEGATION else KINDS.index("threat"), weight
-            since += 1
+            state, (negated, reported, _) = CLAUSES[state][symbol]
+            if symbol in (INSULT, THREAT):
+                held.append((symbol, negated, reported, weight))
+        yield from resolved()
 
     def features(self, texts) -> np.ndarray:
         """Largest and summed weights by kind, a row for each text of an Arrow array.
@@ -134,15 +216,14 @@ class Grammar:
         offsets = offsets - offsets[0]
         tokens = [self.read(t) for t in coded.dictionary.to_pylist()]
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        kinds = np.array([t[0] for t in tokens])[codes]
-        ends = np.array([t[3] for t in tokens])[codes]
+        calls = np.array([any(k in (INSULT, THREAT) for k, _ in t) for t in tokens])[codes]
+        ends = np.array([bool(t) and t[-1][0] == STOP for t in tokens])[codes]
         ends[np.maximum(offsets[1:] - 1, 0)] = True  # a clause ends with its text
         stops = np.flatnonzero(ends)
-        calls = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
-        for c in np.unique(np.searchsorted(stops, calls)).tolist():
+        for c in np.unique(np.searchsorted(stops, np.flatnonzero(calls))).tolist():
             a, b = (stops[c - 1] + 1 if c else 0), stops[c] + 1
             row = int(np.searchsorted(offsets, a, side="right")) - 1
-            for kind, weight in self.matches([tokens[k] for k in codes[a:b]]):
+            for kind, weight in self.matches(x for k in codes[a:b] for x in tokens[k]):
                 out[row, kind] = max(out[row, kind], weight)
                 out[row, len(KINDS) + kind] += weight
         return out
@@ -152,7 +233,7 @@ def odds(t: int, c: int, toxic: int, clean: int) -> float:
     return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
 
-def lexicon(found: list[tuple[str, bool, int, int]], toxic: int, clean: int, support: int) -> list[tuple[str, bool, float]]:
+def lexicon(found: list[tuple[str, bool, int, int]], toxic: int, clean: int, support: int) -> list[Entry]:
     """Entries from (word or beginning, if it is a beginning, toxic and clean rows with it).
 
     A beginning stands for all words with it. It gives way to its longer forms and the word itself if
@@ -164,7 +245,7 @@ def lexicon(found: list[tuple[str, bool, int, int]], toxic: int, clean: int, sup
     for w in sorted(begins):
         longer.setdefault(w[:-1], []).append(w)
 
-    def entries(w: str) -> Iterator[tuple[str, bool, float]]:
+    def entries(w: str) -> Iterator[Entry]:
         (t, c), forms = begins[w], longer.get(w, [])
         parts = [begins[f] for f in forms] + ([whole[w]] if w in whole else [])
         t_rest, c_rest = (max(0, x - sum(p[k] for p in parts)) for k, x in enumerate((t, c)))
@@ -179,12 +260,15 @@ def lexicon(found: list[tuple[str, bool, int, int]], toxic: int, clean: int, sup
 
     out = [e for w in begins if w[:-1] not in begins for e in entries(w)]
     out += [(w, False, odds(t, c, toxic, clean)) for w, (t, c) in whole.items() if not any(w[:n] in begins for n in range(LEAST, len(w) + 1))]
-    return sorted(out, key=lambda x: (-x[2], x[0]))[:ENTRIES]
+    return sorted(out, key=lambda x: (-x[2], x[0]))
 
 
 class Model:
-    def __init__(self, grammar_entries: list[tuple[str, bool, float]], weights: np.ndarray, bias: float):
-        self.entries, self.weights, self.bias = grammar_entries, weights, bias
+    def __init__(self, insults: list[Entry], threats: dict[str, float], weights: np.ndarray, bias: float):
+        self.insults, self.threats, self.weights, self.bias = insults, threats, weights, bias
+
+    def grammar(self) -> Grammar:
+        return Grammar(self.insults, self.threats)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(squash(x) @ self.weights + self.bias, -30, 30)))
@@ -210,16 +294,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100
 
 
 def training(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, toxic of about rows labelled documents of each class at most, none held out.
+    """doc_id, text, toxic of rows labelled documents of each class at most, none held out.
 
     The labels are sampled first (by a hash of doc_id), so that what is broadcast is bounded.
     """
-    own = labels.where(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    million, share = 1_000_000, F.lit(0)
-    for r in own.groupBy("toxic").count().orderBy("toxic").collect():
-        share = F.when(F.col("toxic") == r["toxic"], F.lit(int(min(1.0, rows / r["count"]) * million))).otherwise(share)
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share).limit(4 * rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null")
+    small_batches(docs.sparkSession)
+    own = labels.where(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
+    some, _ = thinned(own, "toxic", 2 * rows, F.col("doc_id"))
+    return bounded(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null"), "toxic", rows)
 
 
 def one_of_copies(docs: DataFrame) -> DataFrame:
@@ -239,45 +321,68 @@ def one_of_copies(docs: DataFrame) -> DataFrame:
     return marked.groupBy("toxic", "low", "high").agg(F.min_by("text", "doc_id").alias("text"))
 
 
+def counted(some: DataFrame) -> DataFrame:
+    """w, open, t, c: in how many toxic and clean rows of each part words and beginnings are (an array each, by part)."""
+    core = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    words = some.select("toxic", "part", F.explode(core).alias("w")).groupBy("w")
+    words = words.agg(*[F.count(F.when((F.col("toxic") == y) & (F.col("part") == k), 1)).alias(f"{'ct'[y]}{k}") for y in (0, 1) for k in range(FOLDS)])
+    numbers = [c for c in words.columns if c != "w"]
+    stems = words.select(F.explode(F.transform(F.sequence(F.lit(LEAST), F.least(F.length("w"), F.lit(MOST))), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"), *numbers)
+    begins = stems.groupBy("w").agg(*[F.sum(c).alias(c) for c in numbers]).withColumn("open", F.lit(True))
+    both = begins.unionByName(words.withColumn("open", F.lit(False)))
+    return both.select("w", "open", *[F.array(*[f"{y}{k}" for k in range(FOLDS)]).alias(y) for y in "tc"])
+
+
 def fit(labelled: DataFrame) -> Model:
     """labelled: doc_id, text, toxic, a bounded number of rows.
 
     Of near copies, one row counts: else each rare word of a copied toxic text would look like an insult.
-    If there are many toxic rows, half (by a hash of the text) give the lexicon, the others the weights of
-    the kinds, so that the weights are those of entries in texts that the lexicon has not seen.
     """
     small_batches(labelled.sparkSession)
     scratch = Scratch(labelled.sparkSession, "toxicity")
-    some = scratch.keep(one_of_copies(labelled), "sample")
-    n = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    if not toxic or not clean:
-        return Model([], np.zeros(2 * len(KINDS)), 0.0 if toxic else -10.0)
-    apart = toxic >= 4 * MANY
-    own = some.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 0) if apart else some
-    toxic, clean = (toxic // 2, clean // 2) if apart else (toxic, clean)
-    support = max(SUPPORT, toxic // 50)
-    fits = (F.col("t") >= support) & (F.col("t") * max(clean, 1) > 4 * F.col("c") * toxic) & (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)) >= LEAST_ODDS)
-    core = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    words = own.select("toxic", F.explode(core).alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    stems = words.select(F.explode(F.transform(F.sequence(F.lit(LEAST), F.least(F.length("w"), F.lit(MOST))), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"), "t", "c")
-    begins = stems.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(fits).withColumn("open", F.lit(True))
-    both = begins.unionByName(words.where(fits).withColumn("open", F.lit(False))).orderBy(F.desc("t"), "w", "open").limit(4 * ENTRIES)
-    entries = lexicon([(r["w"], r["open"], r["t"], r["c"]) for r in both.toArrow().to_pylist()], toxic, clean, support)
-    rest = some.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 1) if apart else some
+    some = scratch.keep(one_of_copies(labelled).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "sample")
+    n = np.zeros((2, FOLDS), int)
+    for r in some.groupBy("toxic", "part").count().collect():
+        n[r["toxic"], r["part"]] = r["count"]
+    number = lambda y: F.aggregate(y, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    enough = max(SUPPORT, int(n[1].sum() * (FOLDS - 1) / FOLDS) // SUPPORT_SHARE // 2)  # no lexicon has entries of less support
+    found = counted(some).where((number("t") >= enough) | (~F.col("open") & F.col("w").isin(THREATS))).orderBy("w", "open").toArrow()
+    words, open_ = np.array(found["w"].to_pylist(), object), found["open"].to_numpy().astype(bool)
+    counts = np.array([found["t"].to_pylist(), found["c"].to_pylist()], int).reshape(2, len(words), FOLDS)
+    threat = np.array([w in THREATS for w in words], bool) & ~open_
+
+    def learnt(use: np.ndarray) -> tuple[list[Entry], dict[str, float]]:
+        """The insults and threats of the parts in use."""
+        toxic, clean = int(n[1, use].sum()), int(n[0, use].sum())
+        if not toxic or not clean:
+            return [], {}
+        support = max(SUPPORT, toxic // SUPPORT_SHARE)
+        t, c = counts[:, :, use].sum(2)
+        lead = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+        own = np.flatnonzero((t >= support) & (t * clean > 4 * c * toxic) & (lead >= LEAST_ODDS) & ~threat)
+        sure = {words[k]: max(LEAST_THREAT, float(lead[k])) for k in np.flatnonzero(threat & (t + c >= SUPPORT))}
+        return lexicon([(words[k], bool(open_[k]), int(t[k]), int(c[k])) for k in own], toxic, clean, support), sure
+
+    parts = np.arange(FOLDS)
+    insults, sure = learnt(parts)
+    if not insults and not sure:
+        return Model([], {}, np.zeros(2 * len(KINDS)), -10.0)
+    others = [learnt(np.flatnonzero(parts != k)) for k in range(FOLDS)]
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        grammar = Grammar(entries)
+        grammars = [Grammar(*x) for x in others]
         for batch in batches:
-            x = grammar.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
+            for k, grammar in enumerate(grammars):
+                own = batch.filter(pa.array(batch.column("part").to_numpy() == k))
+                if own.num_rows:
+                    yield pa.RecordBatch.from_arrays([own.column("toxic"), pa.array(list(grammar.features(own.column("text"))), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    got = rest.select("toxic", "text").mapInArrow(features, "toxic int, x array<double>").toArrow()
+    got = some.select("toxic", "part", "text").mapInArrow(features, "toxic int, x array<double>").toArrow()
     x, y = squash(np.array(got["x"].to_pylist())), got["toxic"].to_numpy().astype(float)
-    w, b = logistic(x, y)
-    return Model(entries, w, b)
+    scratch.drop_but()
+    return Model(insults, sure, *logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -285,12 +390,11 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     small_batches(docs.sparkSession)
-    entries = model.entries
 
     def judge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        grammar = Grammar(entries)
+        grammar = model.grammar()
         for batch in batches:
             p = model.score(grammar.features(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
