@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a graph, queries search it greedily.
 
-1. Equal vectors are one node (a 64-bit hash of the vector), so that copies do not crowd a list.
+1. Vectors that differ by a power of two are one node (a 64-bit hash of the vector, scaled), so that copies
+   do not crowd a list.
 2. The first lists come from TREES random-projection trees, fitted on a bounded sample of the vectors
    (SAMPLE rows): nodes of a leaf are compared with each other; a leaf of over LEAF_MOST nodes is dealt
    into parts by hash. Every vector is in each tree.
 3. NN-descent, ROUNDS times: a node's list and the nodes that list it (K each) are compared with each
    other, and each takes the best of those it meets (neighbours of neighbours). Nodes meet by blocks
-   (the leaves of the first tree): a block fetches each vector it needs once.
+   (some leaves of the first tree): a block fetches each vector it needs once.
 4. A query's beam starts at its own list; HOPS times, the best EXPAND nodes not yet expanded bring in
-   their lists, and the best BEAM stay. The nearest are then scored in double precision.
+   their lists, and the best BEAM stay. All of the beam that float32 can't tell from the k nearest are then
+   scored in double precision, and ties go to the smaller vec_id.
 
-Lists are bounded by K, beams by BEAM, so no step holds more than a block. Recall is measured in
-tests/llm against brute force.
+These steps are the same for tables of any size. Lists are bounded by K, beams by BEAM, so no step holds
+more than a block. Recall is measured in tests/llm against brute force.
 
 Vectors that are null, empty or zero, or hold null or non-finite parts, take no part. Rows that repeat
 vec_id and vector count once. A vec_id with several vectors is a candidate with each (and a query with
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches, table
 
 K = 48
-TREES, LEAF, LEAF_MOST, SAMPLE = 4, 1000, 1600, 4096
+TREES, LEAF, LEAF_MOST, SAMPLE = 4, 200, 400, 4096
 ROUNDS, MEET = 2, 16
 BEAM, EXPAND, HOPS = 256, 32, 6
-TOGETHER = 16  # leaves of the first tree in a block: the larger, the fewer blocks fetch a vector
-QUERIES = 4096  # in a block
+TOGETHER = 8  # leaves of the first tree in a block: the larger, the fewer blocks fetch a vector
+QUERIES = 512  # in a block
 LISTS = "node long, ids array<long>, sims array<float>"
 
 
@@ -108,10 +110,23 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (doubles), node: rows whose vectors can take part, once each."""
+    """vec_id, v (doubles, scaled by a power of two so that the largest is from 0.5 to 1), node: rows whose vectors can take part, once each."""
+
+    def scale(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("v")
+            at, x = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            x = x[at[0] : at[-1]]
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            most = np.maximum.reduceat(np.abs(x), at[:-1] - at[0]) if batch.num_rows else np.empty(0)
+            x = np.ldexp(x, -np.frexp(most)[1][of]) + 0.0  # exact but for what is far too small to count
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(x))], names=["vec_id", "v"])
+
     v = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(sound).where(F.exists("v", lambda x: x != 0))
+    v = v.where(sound).where(F.exists("v", lambda x: x != 0)).mapInArrow(scale, "vec_id long, v array<double>")
     return v.withColumn("node", F.xxhash64("v")).dropDuplicates(["vec_id", "node"])
 
 
@@ -122,9 +137,7 @@ def unit(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column("v")
-            x = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
-            x = x / np.abs(x).max(1, keepdims=True)
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "x"])
 
@@ -272,15 +285,13 @@ def descend(graph: DataFrame, blocks: DataFrame, k: int = K) -> DataFrame:
 
 def build(units: DataFrame, n: int, scratch: Scratch, rounds: int = ROUNDS, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The graph (node, ids, sims), and node, x, block."""
-    jvm = units.sparkSession._jvm
     lists, blocks = first_lists(units, n, scratch, k)
     graph = scratch.keep(merged(lists, k), "graph")
     blocks = scratch.keep(blocks, "blocks")
-    for _ in range(rounds if n > LEAF else 0):
+    for _ in range(rounds):
         new = scratch.keep(merged(graph.unionByName(descend(graph, blocks, k)), k), "graph")
         scratch.drop(graph)
         graph = new
-        jvm.System.gc()  # lets go of the shuffle files of finished rounds
     return graph, blocks
 
 
@@ -324,7 +335,6 @@ def search(starts: DataFrame, graph: DataFrame, blocks: DataFrame, n_queries: in
         block = beams["qblock"][0].as_py()
         return pa.table({"qblock": pa.array([block] * len(rows["node"]), pa.int64())} | {c: pa.array(v, types[c]) for c, v in rows.items()})
 
-    jvm = starts.sparkSession._jvm
     for _ in range(hops):
         beam = F.arrays_zip("ids", "sims", "expanded")
         ranked = F.array_sort(F.filter(F.transform(beam, lambda b: F.struct((-b["sims"]).alias("d"), b["ids"].alias("i"), b["expanded"].alias("e"))), lambda b: ~b["e"]))
@@ -339,7 +349,6 @@ def search(starts: DataFrame, graph: DataFrame, blocks: DataFrame, n_queries: in
         scratch.drop(state)
         scratch.drop(near)
         state = new
-        jvm.System.gc()
     return state.select("node", "ids", "sims")
 
 
@@ -348,7 +357,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, exact_from: int = 2) -> DataFrame:
+def error(dims: int) -> float:
+    """What two float32 products of unit vectors of so many parts may be off, together."""
+    return 2 * (dims + 2) * 2.0**-23
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for rows with is_query (over vec_id), the k nearest other rows."""
     spark = rows.sparkSession
     small_batches(spark, 4096)
@@ -363,14 +377,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, exact_from: int = 2)
     graph, blocks = build(units, n, scratch)
     queries = own.where(is_query)
     starts = queries.select("node").distinct()
-    beams = search(starts, graph, blocks, starts.count(), scratch)
+    beams = scratch.keep(search(starts, graph, blocks, starts.count(), scratch), "found")
     # of a node's copies, the k + 1 smallest ids can be among the k nearest: by parts of a hash, then together
     part = Window.partitionBy("node", "part").orderBy("vec_id")
     whole = Window.partitionBy("node").orderBy("vec_id")
     members = own.select("node", "vec_id").distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     members = members.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1).select("node", "vec_id")
-    # the beam's sims are float32: twice k of them are scored again, and the node itself for its copies
-    pick = F.slice(F.array_sort(F.transform(F.arrays_zip("ids", "sims"), lambda b: F.struct((-b["sims"]).alias("d"), b["ids"].alias("i")))), 1, exact_from * k)
+    # the beam's sims are float32: all that may be among the k nearest are scored again, and the node itself for its copies
+    beam = F.transform(F.arrays_zip("ids", "sims"), lambda b: F.struct(b["sims"].alias("s"), b["ids"].alias("i")))
+    kth = F.coalesce(F.get(F.sort_array(F.transform("sims", lambda s: -s)), F.lit(k - 1)), F.lit(9.0))  # minus the k-th best
+    pick = F.filter(beam, lambda b: b["s"] >= -kth - error(dims["d"]))
     near = beams.select(F.col("node").alias("qnode"), F.explode(F.concat(F.array("node"), F.transform(pick, lambda b: b["i"]))).alias("node"))
     node_vectors = own.groupBy("node").agg(F.min("v").alias("v"))
     scored = near.join(node_vectors.select("node", "v"), "node").join(node_vectors.select(F.col("node").alias("qnode"), F.col("v").alias("qv")), "qnode")
@@ -378,6 +394,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, exact_from: int = 2)
     pairs = queries.select(F.col("vec_id").alias("query_id"), F.col("node").alias("qnode")).join(scored, "qnode").where("query_id <> vec_id")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scratch.drop_but(own, beams)
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
