@@ -9,16 +9,21 @@ tokens in common. Then the first k tokens that they share are among the first n
 - if the first shared token is rare, it stands in both prefixes for k = 1: it is indexed alone;
 - if it is frequent, the pair of the first two shared tokens stands in both prefixes for k = 2: such pairs
   are indexed, as few sets share two frequent tokens near their front. In sets of over PAIR_TOKENS tokens
-  pairs would be too many, and frequent tokens too are indexed alone; sets near that size do both.
-A shared entry at places i and j is a candidate only if min(n - i, m - j) tokens can still reach
-s / (1 + s) * (n + m). Candidates are verified on their whole sets.
-
-Equal sets are one node from the start (a 64-bit hash of the set), however many documents have it. A short
-posting list gives all its pairs. A long one never does: in each of ROUNDS rounds it names a pivot (its
-member with the fewest tokens before the entry), all others meet the pivot, links merge components, the
-pivot leaves, as does whoever cannot reach the smallest member; lists whose members are all in one
-component are done, as their pairs can't join anything new. What is left after these rounds is paired in
-full across components, so that no link between components is lost.
+  pairs would be too many, and frequent tokens too are indexed alone; sets near that size do both;
+- if a combination of k tokens stands in many sets, these extend it by each later token of their prefixes
+  for k + 1, until lists are short. Two sets that share the k tokens alone can't meet then, but such sets
+  are hardly larger than the combination, and meet it at once.
+An entry's place is that of its last token. Sets with places i and j are a candidate only if
+k + min(n - 1 - i, m - 1 - j) tokens can still reach s / (1 + s) * (n + m). Candidates are verified on their
+whole sets.
+
+Equal sets are one node from the start (a 64-bit hash of the set), however many documents have it. A posting
+list gives all its pairs if it is short, or if they are no more than the entries that extending it would
+make. Any other list names a pivot (its member with the fewest tokens before the entry), all others meet the
+pivot, links merge components, and the pivot leaves, as does whoever cannot reach any member of another
+component; lists whose members are all in one component are done, as their pairs can't join anything new. A list in which
+that joins few components (the texts only share frequent words) is extended. So what a list makes grows
+with its entries, not with their square, and no link between components is lost.
 
 Documents: null texts and those without words have no shingles and link with nothing; repeated rows and
 equal ids are rows of their own that link by their texts. component_id is the least doc_id reachable, a
@@ -42,11 +47,15 @@ BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1 << 16
 FREQUENT = 256  # documents, beyond what other tokens add to a counter
 PAIR_TOKENS = 700
-SHORT = 32
+SHORT = 16
+SHRINKS = 0.7  # a pivot is worth another if no more than this share of a list's components is left
 SHAPE = 64
 SLICE = 2 << 20  # bytes of text that are shingled at once: their words and shingles take some fifty times that
-ROUNDS = 3
-FILTER = 23  # bits of a text's hash that choose its bit in the table of wanted texts
+LEAST_FILTER, MOST_FILTER = 16, 28  # bits of a text's hash that choose its bit in the table of wanted texts: three more than name so many texts
+SEEN = 1_000_000  # nodes that a task remembers, so as to index copies once
+
+
+ENTRY = "key long, node long, size int, k int, pos int"
 
 
 class Share:
@@ -57,11 +66,20 @@ class Share:
 
     def least_common(self, n):
         """ceil(s * n): what a set of n tokens shares with any that it links with."""
-        return (n * self.num + self.den - 1) // self.den
+        whole = n * self.num + self.den - 1
+        return F.floor(whole / self.den).cast("int") if isinstance(n, Column) else whole // self.den
+
+    def last(self, n, k):
+        """The last place (from 0) at which a set of n tokens can have the k-th token that it shares with one that it links with."""
+        return n - self.least_common(n) + k - 1
 
-    def reachable(self, n: Column, i: Column, m: Column, j: Column) -> Column:
-        """Whether sets of n and m tokens can link if the first that they share are at i and j (from 0)."""
-        return F.least(n - i, m - j) * (self.num + self.den) >= (n + m) * self.num
+    def reachable(self, common: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m tokens with at most so many in common can link."""
+        return common * (self.num + self.den) >= (n + m) * self.num
+
+    def largest(self, common: Column, n: Column) -> Column:
+        """The size of the largest set with which one of n tokens can link if they have at most so many in common."""
+        return (F.floor(common * (self.num + self.den) / self.num) - n).cast("int")
 
     def apart(self, difference: Column, n: Column, m: Column) -> Column:
         """Whether sets that differ in so many tokens or more are too far apart to link."""
@@ -75,6 +93,12 @@ def buckets_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def extended(key: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The name of a combination with one more token. A token alone is its own name."""
+    with np.errstate(over="ignore"):
+        return mix(mix(key) * M1 + token * M2 + M1)
+
+
 def scan(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, th, n, node; th: hash of the text; shape: its tokens counted by the rest of
     their hashes) and, with block, parts of the sketch of their tokens."""
@@ -127,10 +151,8 @@ def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, int]:
     return scale(sketch), int(scale(np.array([median + 8 * np.sqrt(median) + FREQUENT]))[0])
 
 
-def entries(docs: DataFrame, n: int, share: Share, ranks: np.ndarray, frequent: int) -> DataFrame:
-    """key, node, size, pos: the index."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(ranks)
+def entries(docs: DataFrame, n: int, share: Share, sent, frequent: int) -> DataFrame:
+    """key, node, size, k, pos: the index. sent: the ranks, broadcast."""
     least = 1
     while share.least_common(least) >= least and least < 1000:  # smaller sets link with equal ones only
         least += 1
@@ -139,19 +161,22 @@ def entries(docs: DataFrame, n: int, share: Share, ranks: np.ndarray, frequent:
     def index(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ranks = sent.value
+        ranks, seen = sent.value, set()
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
                 sig = signatures(h, ends)
-                keys, nodes, sizes, places = [], [], [], []
+                keys, nodes, sizes, ks, places = [], [], [], [], []
                 rank = ranks[buckets_of(h)]
-                for k in range(len(sig)):
+                for k, name in enumerate(sig.tolist()):
                     a, b = int(ends[k]), int(ends[k + 1])
                     size = b - a
-                    if size + 1 < least:
+                    if size + 1 < least or name in seen:
                         continue
-                    p = size - int(share.least_common(size)) + 1
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    p = share.last(size, 1) + 1
                     own, r = h[a:b], rank[a:b]
                     order = np.argsort(r, kind="stable")[: p + 1]  # the hashes ascend already
                     own, often = own[order], r[order] > frequent
@@ -159,49 +184,79 @@ def entries(docs: DataFrame, n: int, share: Share, ranks: np.ndarray, frequent:
                     if overlap <= size <= PAIR_TOKENS or share.least_common(size) < 2:  # or a link need not share two
                         alone[:] = True
                     single = np.flatnonzero(alone)
-                    found, at = [own[single]], [single]
+                    keys.append(own[single])
+                    places.append(single)
+                    ks.append(np.ones(len(single), np.int32))
+                    found = len(single)
                     if size <= PAIR_TOKENS and often[:p].any():
                         i, j = np.triu_indices(len(own), 1)
                         of = (i < p) & often[i]
                         i, j = i[of], j[of]
-                        found.append(mix(mix(own[i]) * M1 + own[j] * M2 + M1))
-                        at.append(i)
-                    found, at = np.concatenate(found), np.concatenate(at)
-                    keys.append(found)
-                    places.append(at)
-                    nodes.append(np.full(len(found), sig[k], np.uint64))
-                    sizes.append(np.full(len(found), size, np.int32))
+                        keys.append(extended(own[i], own[j]))
+                        places.append(j)
+                        ks.append(np.full(len(i), 2, np.int32))
+                        found += len(i)
+                    nodes.append(np.full(found, sig[k], np.uint64))
+                    sizes.append(np.full(found, size, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(nodes))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "node", "size", "pos"])
+                    columns = [signed(np.concatenate(keys)), signed(np.concatenate(nodes)), np.concatenate(sizes), np.concatenate(ks), np.concatenate(places).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size", "k", "pos"])
         give_back()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(index, "key long, node long, size int, pos int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(index, ENTRY)
 
 
-def sets_of(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """node, tokens for documents the bit of whose text's hash is set in wanted (and for a few others)."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+def sets_of(docs: DataFrame, n: int, sent, wanted: np.ndarray, high: int) -> DataFrame:
+    """node, tokens (in the order of all sets) for documents whose bit, by the high bits of the text's hash, is set in wanted (and for a few others)."""
+    spark = docs.sparkSession
+    asked = spark.sparkContext.broadcast(np.packbits(wanted))
 
     def pick(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bits = np.unpackbits(sent.value)
+        bits, ranks = np.unpackbits(asked.value), sent.value
         for whole in batches:
-            ours = bits[(whole.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)].astype(bool)
+            ours = bits[(whole.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - high)).astype(np.int64)].astype(bool)
             for batch in slices(whole.filter(pa.array(ours)), "text", SLICE):
                 h, ends = shingle_sets(batch.column("text"), n)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(h, ends))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(h)))], names=["node", "tokens"])
+                doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                order = np.lexsort((ranks[buckets_of(h)], doc))  # stable: equal ranks by hash
+                yield pa.RecordBatch.from_arrays([pa.array(signed(signatures(h, ends))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(h[order])))], names=["node", "tokens"])
         give_back()
 
     return docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("th")).mapInArrow(pick, "node long, tokens array<long>")
 
 
-def bits_of(hashes: DataFrame) -> np.ndarray:
-    """A table of 2**FILTER bits, those of the hashes (th) set."""
-    high = F.shiftrightunsigned("th", 64 - FILTER)
-    words = hashes.select(F.shiftright(high, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(th, {64 - FILTER}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def longer(lists: DataFrame, sets: DataFrame, share: Share) -> DataFrame:
+    """Entries extended by each later token with which they may go on."""
+
+    def grow(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            tokens, held = batch.column("tokens"), batch.column("held")
+            at, key, k, pos = held.offsets.to_numpy(), *(held.values.field(c).to_numpy() for c in ("key", "k", "pos"))
+            ends, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().view(np.uint64)
+            sizes, nodes = np.diff(ends), batch.column("node").to_numpy()
+            for r, size in enumerate(sizes.tolist()):
+                own = slice(at[r], at[r + 1])
+                room = np.maximum(np.minimum(share.last(size, k[own] + 1), size - 1) - pos[own], 0)
+                of = np.repeat(np.arange(at[r], at[r + 1]), room)
+                place = pos[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(room) - room, room)
+                names = extended(key[of].view(np.uint64), flat[ends[r] + place])
+                columns = [signed(names), np.full(len(of), nodes[r]), np.full(len(of), size, np.int32), (k[of] + 1).astype(np.int32), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size", "k", "pos"])
+
+    held = lists.groupBy("node").agg(F.collect_list(F.struct("key", "k", "pos")).alias("held"))
+    return held.join(sets.hint("merge"), "node").select("node", "held", "tokens").mapInArrow(grow, ENTRY)
+
+
+def bits_of(hashes: DataFrame, high: int) -> np.ndarray:
+    """A table of 2**high bits, those of the hashes (th) set."""
+    place = F.shiftrightunsigned("th", 64 - high)
+    words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(th, {64 - high}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     t = words.toArrow()
-    out = np.zeros((1 << FILTER) // 64, np.uint64)
+    out = np.zeros((1 << high) // 64, np.uint64)
     out[t["w"].to_numpy()] = t["b"].to_numpy().view(np.uint64)
     return ((out[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
 
@@ -225,26 +280,36 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Documents (doc_id, th, n, node), and node, comp for nodes that link with others."""
+    """Documents (doc_id, th, n, node), and node, comp for nodes that link with others.
+
+    Joins with tables that grow with the corpus are merge joins, whose large keys Spark can split.
+    """
     scanned = scratch.keep(scan(docs, n), "scan")
     rows = scanned.where("block is null")
     nodes = rows.select("doc_id", "th", "n", "node")
-    index = scratch.keep(entries(docs, n, share, *ranks_of(sketch_of(scanned))), "index")
+    ranks, frequent = ranks_of(sketch_of(scanned))
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    index = scratch.keep(entries(docs, n, share, sent, frequent), "index")
     several = index.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
-    posted = scratch.keep(index.join(several, "key").distinct(), "posted")
+    posted = scratch.keep(index.join(several.hint("merge"), "key").distinct(), "posted")
     scratch.drop(index)
-    may = share.reachable(F.col("l.size"), F.col("l.pos"), F.col("r.size"), F.col("r.pos"))
 
-    def paired(rows: DataFrame, apart: Column) -> DataFrame:
-        return rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    def common(side: str = "") -> Column:
+        """The most tokens that a set with the entry can have in common with another."""
+        return F.col(f"{side}k") + F.col(f"{side}size") - 1 - F.col(f"{side}pos")
 
-    pairs = scratch.keep(paired(posted.where(F.col("members") <= SHORT), F.col("l.node") < F.col("r.node")).distinct(), "pairs")
-    long_ = scratch.keep(posted.where(F.col("members") > SHORT).drop("members"), "long")
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_.select("node")).distinct()
-    chosen = scratch.keep(rows.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "n", "shape")).alias("s")).select("node", "s.*"), "chosen")
+    def paired(rows: DataFrame, apart: Column) -> DataFrame:
+        may = share.reachable(F.least(common("l."), common("r.")), F.col("l.size"), F.col("r.size"))
+        return rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & apart & may).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+    pairs = scratch.keep(paired(posted.where(F.col("members") <= SHORT), F.lit(True)).distinct(), "pairs")
+    lists = scratch.keep(posted.where(F.col("members") > SHORT).drop("members"), "long")
+    scratch.drop(posted)
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
+    chosen = scratch.keep(rows.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "n", "shape")).alias("s")).select("node", "s.*"), "chosen")
     if not chosen.limit(1).count():
         return nodes, None
-    side = lambda of, name, *more: chosen.select(F.col("node").alias(of), *[F.col(c).alias(c + name) for c in more])
+    side = lambda of, name, *more: chosen.select(F.col("node").alias(of), *[F.col(c).alias(c + name) for c in more]).hint("merge")
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose shapes do not rule them out: sets differ in no fewer tokens than their shapes do."""
@@ -254,48 +319,64 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
 
     scratch_pairs, pairs = pairs, scratch.keep(near(pairs), "near")
     scratch.drop(scratch_pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_.select("node")).distinct()
-    wanted = scratch.keep(chosen.select("node", "th").join(wanted, "node", "left_semi"), "wanted")
-    sets = scratch.keep(sets_of(docs, n, bits_of(wanted)).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
+    wanted = scratch.keep(chosen.select("node", "th").join(wanted.hint("merge"), "node", "left_semi"), "wanted")
+    high = min(MOST_FILTER, max(LEAST_FILTER, wanted.count().bit_length() + 3))
+    sets = sets_of(docs, n, sent, bits_of(wanted, high), high).join(wanted.select("node").hint("merge"), "node", "left_semi")
+    sets = scratch.keep(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        full = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return full.where(share.links(common, F.size("x"), F.size("y"))).select("a", "b")
+        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+        full = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return full.where(share.links(shared, F.size("x"), F.size("y"))).select("a", "b")
 
     links = scratch.keep(verified(pairs), "links")
     comps = components(links, scratch)
-    for turn in range(ROUNDS + 1):
-        now = long_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        lists = now.groupBy("key").agg(
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.min("size").alias("least"),
-            F.max("size").alias("most"),
-            F.min(F.struct("pos", "size", "node", "comp")).alias("pivot"),
-        )
-        lists = lists.where("low <> high")
-        # the partner with which a set needs the fewest common tokens is the smallest
-        reach = lambda m: (F.col("size") - F.col("pos")) * (share.num + share.den) >= (F.col("size") + m) * share.num
-        active = scratch.keep(now.join(lists, "key").where(reach(F.col("least"))).drop("low", "high", "least", "most"), "active")
+    lists = lists.withColumn("was", F.lit(None).cast("long"))  # the list's components when it last had a pivot
+    while True:
+        now = lists.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("most", share.largest(common(), F.col("size")))
+        more = F.greatest(F.least(share.last(F.col("size"), F.col("k") + 1), F.col("size") - 1) - F.col("pos"), F.lit(0))
+        kinds = now.groupBy("key", "comp").agg(F.min("size").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("members"), F.sum(more).alias("room"), F.min(F.struct("pos", "size", "node", "comp")).alias("pivot"))
+        kinds = scratch.keep(kinds, "kinds")
+        stats = kinds.groupBy("key").agg(F.min(F.struct("least", "comp")).alias("low"), F.max(F.struct("most", "comp")).alias("high"), F.count(F.lit(1)).alias("kinds"), F.sum("members").alias("members"), F.sum("room").alias("room"), F.min("pivot").alias("pivot"))
+        stats = scratch.keep(stats.where("kinds > 1"), "lists")
+        second = kinds.join(stats.select("key", "low", "high").hint("merge"), "key").groupBy("key")
+        second = second.agg(F.min(F.when(F.col("comp") != F.col("low.comp"), F.col("least"))).alias("low2"), F.max(F.when(F.col("comp") != F.col("high.comp"), F.col("most"))).alias("high2"))
+        # of other components, the smallest set must be small enough for a member, and the member for the set that can link with the largest
+        least = F.when(F.col("comp") == F.col("low.comp"), F.col("low2")).otherwise(F.col("low.least"))
+        most = F.when(F.col("comp") == F.col("high.comp"), F.col("high2")).otherwise(F.col("high.most"))
+        bounds = stats.join(second.hint("merge"), "key")
+        active = now.join(bounds.hint("merge"), "key").where((least <= F.col("most")) & (F.col("size") <= most))
+        active = scratch.keep(active.drop("low", "high", "low2", "high2", "most"), "active")
         if not active.limit(1).count():
-            scratch.drop(active)
             break
-        if turn < ROUNDS:
-            p = F.col("pivot")
-            meets = (F.col("comp") != p["comp"]) & share.reachable(F.col("size"), F.col("pos"), p["size"], p["pos"])
-            pairs = active.where(meets).select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"))
-        else:
-            pairs = paired(active, (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")))
-        more = scratch.keep(verified(near(pairs.distinct())), "links")
-        links = links.unionByName(more)
-        if more.limit(1).count():
+        few = (F.col("members") <= SHORT) | (F.col("members") * (F.col("members") - 1) <= 2 * F.col("room"))
+        other = F.col("l.comp") != F.col("r.comp")
+        grows = ~few & (F.col("kinds") > F.col("was") * SHRINKS)
+        goes_on = ~few & ~F.coalesce(grows, F.lit(False))
+        pairs = paired(active.where(few), other)
+        p = F.col("pivot")
+        before = share.reachable(F.least(common(), F.col("k") + p["size"] - 1 - p["pos"]), F.col("size"), p["size"])
+        meets = active.where(goes_on & (F.col("comp") != p["comp"]) & before)
+        pairs = pairs.unionByName(meets.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")))
+        done = scratch.keep(active.where(grows).select("key", "node", "size", "k", "pos", "comp"), "extended")
+        # sets that share the combination alone: the smaller one has hardly more tokens
+        l, r = done.where((2 * F.col("size") - F.col("k")) * share.num <= F.col("k") * share.den).alias("l"), done.alias("r")
+        alone = share.links(F.col("l.k"), F.col("l.size"), F.col("r.size")) & ((F.col("l.size") < F.col("r.size")) | ((F.col("l.size") == F.col("r.size")) & (F.col("l.node") < F.col("r.node"))))
+        pairs = pairs.unionByName(l.join(r, (F.col("l.key") == F.col("r.key")) & alone & other).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")))
+        tried = scratch.keep(pairs.distinct(), "tried")
+        found = scratch.keep(verified(near(tried)), "links")
+        links = links.unionByName(found)
+        if found.limit(1).count():
             scratch.drop(comps)
             comps = components(links, scratch)
-        scratch.drop(long_)
-        long_ = active.where(F.col("node") != F.col("pivot.node")).select("key", "node", "size", "pos")
-        long_.scratch_path = active.scratch_path  # type: ignore[attr-defined]
+        again = active.where(goes_on & (F.col("node") != p["node"])).select("key", "node", "size", "k", "pos", F.col("kinds").alias("was"))
+        new = longer(done, sets, share).withColumn("was", F.lit(None).cast("long"))
+        old, lists = lists, scratch.keep(again.unionByName(new), "long")
+        for df in (old, kinds, stats, active, done, tried):
+            scratch.drop(df)
+    scratch.drop_but(scanned, comps)
     return nodes, comps
 
 
@@ -305,9 +386,9 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     nodes, comps = linked(docs, n, Share(num, den), scratch)
     of = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    of = of.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else of.withColumn("comp", F.col("node"))
+    of = of.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else of.withColumn("comp", F.col("node"))
     roots = of.groupBy("comp").agg(F.min("least").alias("component_id"))
-    out = nodes.join(of.join(roots, "comp").select("node", "comp", "component_id"), "node", "left")
+    out = nodes.join(of.join(roots.hint("merge"), "comp").select("node", "comp", "component_id").hint("merge"), "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "th", F.coalesce("comp", F.lit(0)).cast("long").alias("comp"))
 
@@ -317,7 +398,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Dat
     scratch = Scratch(docs.sparkSession, "one-of-each")
     rows = scratch.keep(join(docs, n, num, den).where("n_shingles > 0").select("doc_id", "th", "comp"), "rows")
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
-    lost = rows.join(first, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
+    lost = rows.join(first.hint("merge"), "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
     is_row = lambda of: docs["doc_id"].eqNullSafe(of["gone_id"]) & (F.xxhash64(docs["text"]) == of["gone_th"])
     named = lambda of: of.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
     kept = docs.join(gone := named(lost), is_row(gone), "left_anti")

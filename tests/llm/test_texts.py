@@ -220,6 +220,44 @@ def test_jaccard_components(spark, monkeypatch, n, num, den, short):
     assert {k: got[k].component_id for k, _ in rows} == {k: r for (k, _), r in zip(rows, roots)}
 
 
+@pytest.mark.parametrize(("n", "num", "den"), [(1, 8, 10), (1, 1, 2)])
+def test_jaccard_extends_long_lists(spark, monkeypatch, n, num, den):
+    """A small vocabulary: every token is in many texts, and lists are long whatever their tokens."""
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1)
+    grown, longer = [], jaccard.longer
+    monkeypatch.setattr(jaccard, "longer", lambda lists, *more: grown.append(lists.count()) or longer(lists, *more))
+    rng = np.random.default_rng(n)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 14, int(rng.integers(2, 30))))) for k in range(100)]
+    sets, roots = brute_components(rows, n, num, den)
+    assert len(set(roots)) < len(rows)
+    got = as_dict(jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), n, num, den))
+    assert {k: got[k].component_id for k, _ in rows} == {k: r for (k, _), r in zip(rows, roots)}
+    assert sum(grown) > 0
+
+
+def test_jaccard_pairs_grow_with_the_input(spark, monkeypatch):
+    """Unlinked texts over a small vocabulary: what is compared grows with their number, not with its square."""
+    tried, keep = [], jaccard.Scratch.keep
+
+    def counted(self, df, name, **options):
+        out = keep(self, df, name, **options)
+        if name in ("pairs", "tried"):
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", counted)
+    monkeypatch.setattr(jaccard, "SHORT", 4)
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    rng, totals = np.random.default_rng(0), []
+    for n in (300, 1200):
+        rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 9, 40))) for k in range(n)]
+        tried.clear()
+        assert jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 90, 100).where("component_id <> doc_id").count() == 0
+        totals.append(sum(tried))
+    assert totals[1] <= 8 * max(totals[0], 300)
+
+
 def test_jaccard_odd_rows(spark, odd, nothing):
     got = jaccard.join(odd, 3, 90, 100).collect()
     assert len(got) == odd.count()
