@@ -6,6 +6,8 @@ text with fewer words, but not none, has its whole sequence as one. Hashes have
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -22,22 +24,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of an Arrow array of texts (null: none), and where each text's words end, from a 0 on."""
+def word_numbers(texts, *of: Callable[[str], int]) -> tuple[np.ndarray, ...]:
+    """For each function of a word, its numbers for all words of an Arrow array of texts (null: none); and where each text's words end, from a 0 on."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    import xxhash
 
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = split.offsets.to_numpy()
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     names = pc.ascii_lower(coded.dictionary).to_pylist()  # distinct words only; and ascii_lower misreads arrays that are slices
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in names), np.uint64, len(names))
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    hashes = own[codes] if len(names) else np.empty(0, np.uint64)
     real = np.array([bool(w) for w in names])[codes] if len(names) else np.empty(0, bool)
     ends = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
-    return hashes[real], ends
+    kept = codes[real] if len(names) else np.empty(0, int)
+    return *(np.fromiter((f(w) if w else 0 for w in names), np.uint64, len(names))[kept] for f in of), ends
+
+
+def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of an Arrow array of texts (null: none), and where each text's words end, from a 0 on."""
+    import xxhash
+
+    return word_numbers(texts, xxhash.xxh3_64_intdigest)
 
 
 def shingle_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
