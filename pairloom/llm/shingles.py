@@ -6,8 +6,6 @@ text with fewer words, but not none, has its whole sequence as one. Hashes have
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -24,27 +22,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_numbers(texts, *of: Callable[[str], int]) -> tuple[np.ndarray, ...]:
-    """For each function of a word, its numbers for all words of an Arrow array of texts (null: none); and where each text's words end, from a 0 on."""
+def coded_words(texts) -> tuple:
+    """Of an Arrow array of texts (null: none): words (some perhaps twice), each place's word, and where each text's places end, from a 0 on."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = split.offsets.to_numpy()
     coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    names = pc.ascii_lower(coded.dictionary).to_pylist()  # distinct words only; and ascii_lower misreads arrays that are slices
+    words = pc.ascii_lower(coded.dictionary)  # distinct words only; and ascii_lower misreads arrays that are slices
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    real = np.array([bool(w) for w in names])[codes] if len(names) else np.empty(0, bool)
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)[codes] if len(words) else np.empty(0, bool)
     ends = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
-    kept = codes[real] if len(names) else np.empty(0, int)
-    return *(np.fromiter((f(w) if w else 0 for w in names), np.uint64, len(names))[kept] for f in of), ends
+    return words, codes[real].astype(np.int64), ends
 
 
-def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of an Arrow array of texts (null: none), and where each text's words end, from a 0 on."""
+def hashes_of(words) -> np.ndarray:
     import xxhash
 
-    return word_numbers(texts, xxhash.xxh3_64_intdigest)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of an Arrow array of texts (null: none), and where each text's words end, from a 0 on."""
+    words, codes, ends = coded_words(texts)
+    return hashes_of(words)[codes], ends
 
 
 def shingle_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
