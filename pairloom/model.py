@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-EDGES = "src bigint, dst bigint"
-VERTICES = "id bigint"
-TRUTH = "a bigint, b bigint"
-SEEDS = "a bigint, b bigint, seed_rank bigint"
 FACT = "scenario string, strategy string, algorithm string, seed_count int, trial int, accuracy double, cpu_seconds double"
 RECORD = "strategy string, trial int, H0 double, final_unseeded double, final_all double, alpha0 double, step_toward_Q0 double, n_iter int"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,18 @@ def forward(edges: DataFrame) -> DataFrame:
     return both.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("high"))
 
 
-def triangles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, triangles: pairs of neighbours that are joined. Each triangle is met once, at its corner of fewest edges."""
+def corners(edges: DataFrame) -> DataFrame:
+    """low, x, y (x < y): each triangle once, met at its corner of fewest edges."""
     f = forward(edges)
     out = f.groupBy("low").agg(F.sort_array(F.collect_list("high")).alias("near"))
     wedge = out.select("low", F.explode(F.transform("near", lambda x, i: F.struct(x.alias("x"), F.slice("near", i + 2, F.size("near")).alias("ys")))).alias("s")).select("low", F.col("s.x").alias("x"), F.explode("s.ys").alias("y"))
     pairs = f.select(F.least("low", "high").alias("x"), F.greatest("low", "high").alias("y"))
-    met = wedge.join(pairs, ["x", "y"])
-    n = met.select(F.explode(F.array("low", "x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+    return wedge.join(pairs, ["x", "y"]).select("low", "x", "y")
+
+
+def triangles(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, triangles: pairs of neighbours that are joined."""
+    n = corners(edges).select(F.explode(F.array("low", "x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
     return vertices.join(n, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("bigint").alias("triangles"))
 
 
@@ -51,13 +56,15 @@ def triangle_degree_ratio(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def jaccard_neighborhood(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, jaccard: the mean over neighbours of the share of common neighbours; 0 without neighbours."""
+    """id, jaccard: the mean over neighbours of the share of common neighbours; 0 without neighbours.
+
+    An edge's ends have as many common neighbours as there are triangles on the edge, so that no hub's neighbours are paired.
+    """
     n = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("d"))
-    f = edges.where("src < dst")
-    ways = f.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    path = edges.select(F.col("src").alias("w"), F.col("dst").alias("u"))
-    end = edges.select(F.col("src").alias("w"), F.col("dst").alias("v"))
-    common = ways.join(path, "u").join(end, ["w", "v"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
+    ways = edges.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    side = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+    sides = corners(edges).select(F.explode(F.array(side("low", "x"), side("low", "y"), side("x", "y"))).alias("e")).select("e.*")
+    common = sides.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
     each = ways.join(common, ["u", "v"], "left").join(n.select(F.col("v").alias("u"), F.col("d").alias("du")), "u").join(n.select("v", F.col("d").alias("dv")), "v")
     c = F.coalesce("c", F.lit(0))
     share = each.select("u", "v", (c / (F.col("du") + F.col("dv") - c)).alias("share"))
@@ -85,32 +92,29 @@ def bfs_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, parts: int = 64, most_edges: int = 20_000_000) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, parts: int = 16, most: int = 20_000_000) -> DataFrame:
     """id, betweenness: the share of shortest paths through it, as a fraction of the other pairs.
 
-    Sources are dealt to tasks, each of which holds the graph (at most most_edges, checked) and adds up
-    its sources' dependencies; the sums meet by vertex.
+    Sources are dealt into parts; a part's task gets its sources, all vertices and all edges (at most most of
+    each, checked) and adds up its sources' dependencies. The sums meet by vertex; nothing goes to the driver.
     """
-    spark = vertices.sparkSession
-    m = edges.count()
-    if m > most_edges:
-        raise ValueError(f"{m} edges; tasks hold at most {most_edges}")
-    ids = vertices.select("id").orderBy("id").toPandas()["id"].to_numpy()
-    pairs = edges.select("src", "dst").toPandas()
-    graph = spark.sparkContext.broadcast(bfs.Graph(ids, pairs["src"].to_numpy(), pairs["dst"].to_numpy()))
-
-    def run(batches):
+    n, m = vertices.count(), edges.count()
+    if max(n, m) > most:
+        raise ValueError(f"{n} vertices and {m} edges; a task holds at most {most} of each")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    sources = vertices.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("own"), "id", every)
+    graph = edges.select("src", "dst", every)
+
+    def run(sources, edges):
         import pyarrow as pa
 
-        g, total = graph.value, None
-        for batch in batches:
-            part = g.dependencies(batch.column("id").to_numpy())
-            total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(g.ids), pa.array(total)], names=["id", "delta"])
+        if not sources.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "delta": pa.array([], pa.float64())})
+        ids, own = sources["id"].to_numpy(), sources["own"].to_numpy() == sources["part"].to_numpy()
+        g = bfs.Graph(ids, edges["src"].to_numpy(), edges["dst"].to_numpy())
+        return pa.table({"id": pa.array(g.ids), "delta": pa.array(g.dependencies(np.sort(ids[own])))})
 
-    sums = vertices.select("id").repartition(parts, "id").mapInArrow(run, "id bigint, delta double").groupBy("id").agg(F.sum("delta").alias("d"))
-    n = len(ids)
+    sums = sources.groupBy("part").cogroup(graph.groupBy("part")).applyInArrow(run, "id bigint, delta double").groupBy("id").agg(F.sum("delta").alias("d"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return vertices.join(sums, "id", "left").select("id", F.round(F.coalesce("d", F.lit(0.0)) * scale, DIGITS).alias("betweenness"))
 
@@ -118,31 +122,34 @@ def betweenness(vertices: DataFrame, edges: DataFrame, parts: int = 64, most_edg
 def nn_distance(points: DataFrame, block_rows: int = 1024) -> DataFrame:
     """id, distance: to the nearest other point. points: id, v (array).
 
-    Points are dealt into blocks; pairs of blocks meet in tasks, so that a task holds two of them. The
-    work is that of all pairs, which the operator asks for; of each pair of blocks, a row a point leaves.
+    Points are dealt into blocks; each pair of blocks meets in one task, which holds the two, and a row a
+    point leaves it. The work is that of all pairs, which the operator asks for.
     """
-    import numpy as np
-
     n = points.count()
     blocks = max(1, -(-n // block_rows))
     own = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = own.select("id", "v", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
-    right = own.select("id", "v", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = other.select("id", "v", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("first"))
 
-    def least(a, b):
+    def least(t):
         import pandas as pd
 
+        if t["x"].iloc[0] == t["y"].iloc[0]:
+            a = b = t
+        else:
+            a, b = t[t["first"]], t[~t["first"]]
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "d": []})
-        x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
-        out = np.empty(len(x))
+        x, y, i, j = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), a["id"].to_numpy(), b["id"].to_numpy()
+        of_a, of_b = np.full(len(x), np.inf), np.full(len(y), np.inf)
         for k in range(0, len(x), 64):
             d = ((x[k : k + 64, None, :] - y[None]) ** 2).sum(2)
-            d[a["id"].to_numpy()[k : k + 64, None] == b["id"].to_numpy()[None]] = np.inf
-            out[k : k + 64] = np.sqrt(d.min(1))
-        return pd.DataFrame({"id": a["id"], "d": out})
+            d[i[k : k + 64, None] == j[None]] = np.inf
+            of_a[k : k + 64] = d.min(1)
+            of_b = np.minimum(of_b, d.min(0))
+        return pd.DataFrame({"id": np.r_[i, j], "d": np.sqrt(np.r_[of_a, of_b])})
 
-    each = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(least, "id bigint, d double")
+    each = dealt.groupBy("x", "y").applyInPandas(least, "id bigint, d double")
     return each.groupBy("id").agg(F.round(F.min("d"), 6).alias("distance"))
 
 

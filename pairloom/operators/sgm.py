@@ -21,17 +21,18 @@ def unseeded_degree(vertices: DataFrame, edges: DataFrame, seeded: DataFrame) ->
     return left.join(n, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
 
 
-def gradient0(vertices: DataFrame, a: DataFrame, b: DataFrame, seeds: DataFrame) -> DataFrame:
-    """i, j, gradient at the barycentre: the seed term and 2/m times the product of the degrees. Rows where both are 0 are left out."""
+def first_direction(vertices: DataFrame, a: DataFrame, b: DataFrame, seeds: DataFrame) -> DataFrame:
+    """i, j, gradient: for each unseeded i, the j of the largest gradient at the barycentre (the smaller j on ties).
+
+    The gradient is the seed term and 2/m times the product of the degrees. So a row's best place is one with
+    a seed term, or the j of the largest degree: no other place need be made. Rows all 0 are left out.
+    """
     da = unseeded_degree(vertices, a, seeds.select(F.col("a").alias("id"))).select(F.col("id").alias("i"), F.col("d").alias("da"))
     db = unseeded_degree(vertices, b, seeds.select(F.col("b").alias("id"))).select(F.col("id").alias("j"), F.col("d").alias("db"))
     m = da.agg(F.count(F.lit(1))).scalar()
-    flat = da.where("da > 0").join(db.where("db > 0")).select("i", "j", (2.0 / m * F.col("da") * F.col("db")).alias("flat"))  # dense by definition
-    both = flat.join(seed_term(a, b, seeds), ["i", "j"], "full")
-    return both.select("i", "j", F.round(F.coalesce("term", F.lit(0)) + F.coalesce("flat", F.lit(0.0)), 9).alias("gradient"))
-
-
-def first_direction(vertices: DataFrame, a: DataFrame, b: DataFrame, seeds: DataFrame) -> DataFrame:
-    """i, j: for each unseeded i, the j of the largest gradient (the smaller j on ties)."""
-    g = gradient0(vertices, a, b, seeds)
-    return g.groupBy("i").agg(F.min(F.struct((-F.col("gradient")).alias("g"), "j")).alias("x")).select("i", F.col("x.j").alias("j"))
+    top = db.agg(F.max(F.struct("db", (-F.col("j")).alias("j"))).alias("x"))
+    flat = da.where("da > 0").select("i", (-top.select("x.j").scalar()).alias("j"), "da", top.select("x.db").scalar().alias("db"), F.lit(0).cast("bigint").alias("term")).where("db > 0")
+    termed = seed_term(a, b, seeds).join(da, "i").join(db, "j").select("i", "j", "da", "db", "term")
+    places = termed.unionByName(flat).select("i", "j", F.round(F.col("term") + 2.0 / m * F.col("da") * F.col("db"), 9).alias("gradient"))
+    best = places.groupBy("i").agg(F.min(F.struct((-F.col("gradient")).alias("g"), "j")).alias("x"))
+    return best.select("i", F.col("x.j").alias("j"), F.round(-F.col("x.g"), 6).alias("gradient"))

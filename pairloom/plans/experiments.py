@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from pairloom.model import FACT, RECORD
 
-R, B, T, H, BR, N = "random_seeds betweenness_seeds triangle_degree_ratio_seeds highest_degree_seeds blocked_random_seeds neighbor_degree_seeds".split()
+RANDOM, BLOCKED = "random_seeds", "blocked_random_seeds"
+DEGREE, NEIGHBORS = "highest_degree_seeds", "neighbor_degree_seeds"
+BETWEEN, TRIANGLES = "betweenness_seeds", "triangle_degree_ratio_seeds"
 
 
 @dataclass
@@ -41,18 +43,18 @@ DENSE_SBM, SPARSE_SBM = {"n_per_block": 200, "n_blocks": 3, "rho": 0.5}, {"n_per
 HEAVY, LIGHT = {"n": 600, "alpha": 2.0, "p": 0.005, "rho": 0.7}, {"n": 600, "alpha": 3.0, "p": 0.005, "rho": 0.7}
 DENSE, SPARSE = {"n": 600, "p": 0.2, "rho": 0.5}, {"n": 600, "p": 0.01, "rho": 0.5}
 SCENARIOS = [
-    Scenario("dense sbm, sgm", "sbm", DENSE_SBM, "sgm", [R, B, T, BR, N], [2, 4, 5, 6, 8, 10], block_probs=P1),
-    Scenario("heavy paper, percolation", "paper", HEAVY, "percolation", [R, B, T, H, N], LONG),
-    Scenario("heavy paper, sgm", "paper", HEAVY, "sgm", [R, B, T, H, N], LONG),
-    Scenario("light paper, percolation", "paper", LIGHT, "percolation", [R, B, T, H, N], LONG),
-    Scenario("light paper, sgm", "paper", LIGHT, "sgm", [R, B, T, H, N], [*LONG, 80]),
-    Scenario("sparse sbm, percolation", "sbm", SPARSE_SBM, "percolation", [R, B, T, BR, N], [0, 2, 4, 6, 8, 10, 15], block_probs=P2),
-    Scenario("sparse sbm, sgm", "sbm", SPARSE_SBM, "sgm", [R, B, T, BR, N], [2, 4, 6, 8, 10, 15, 20, 25], block_probs=P2),
-    Scenario("sparse er, sgm", "er", SPARSE, "sgm", [R, B, T, H], [0, 10, 30, 50, 100, 150]),
-    Scenario("sparse er, percolation", "er", SPARSE, "percolation", [R, B, T, H], [0, 10, 30, 50, 100, 150]),
-    Scenario("dense er, sgm", "er", DENSE, "sgm", [R, B, T, H], [2, 4, 6, 8, 10, 15, 30]),
-    Scenario("dense er, percolation", "er", DENSE, "percolation", [R, B, T, H], [2, 4, 6, 8, 10, 15, 30]),
-    Scenario("dense sbm, percolation", "sbm", DENSE_SBM, "percolation", [R, B, T, BR, N], [2, 4, 6, 8, 10, 15, 30, 50], block_probs=P1),
+    Scenario("dense sbm, sgm", "sbm", DENSE_SBM, "sgm", [RANDOM, BETWEEN, TRIANGLES, BLOCKED, NEIGHBORS], [2, 4, 5, 6, 8, 10], block_probs=P1),
+    Scenario("heavy paper, percolation", "paper", HEAVY, "percolation", [RANDOM, BETWEEN, TRIANGLES, DEGREE, NEIGHBORS], LONG),
+    Scenario("heavy paper, sgm", "paper", HEAVY, "sgm", [RANDOM, BETWEEN, TRIANGLES, DEGREE, NEIGHBORS], LONG),
+    Scenario("light paper, percolation", "paper", LIGHT, "percolation", [RANDOM, BETWEEN, TRIANGLES, DEGREE, NEIGHBORS], LONG),
+    Scenario("light paper, sgm", "paper", LIGHT, "sgm", [RANDOM, BETWEEN, TRIANGLES, DEGREE, NEIGHBORS], [*LONG, 80]),
+    Scenario("sparse sbm, percolation", "sbm", SPARSE_SBM, "percolation", [RANDOM, BETWEEN, TRIANGLES, BLOCKED, NEIGHBORS], [0, 2, 4, 6, 8, 10, 15], block_probs=P2),
+    Scenario("sparse sbm, sgm", "sbm", SPARSE_SBM, "sgm", [RANDOM, BETWEEN, TRIANGLES, BLOCKED, NEIGHBORS], [2, 4, 6, 8, 10, 15, 20, 25], block_probs=P2),
+    Scenario("sparse er, sgm", "er", SPARSE, "sgm", [RANDOM, BETWEEN, TRIANGLES, DEGREE], [0, 10, 30, 50, 100, 150]),
+    Scenario("sparse er, percolation", "er", SPARSE, "percolation", [RANDOM, BETWEEN, TRIANGLES, DEGREE], [0, 10, 30, 50, 100, 150]),
+    Scenario("dense er, sgm", "er", DENSE, "sgm", [RANDOM, BETWEEN, TRIANGLES, DEGREE], [2, 4, 6, 8, 10, 15, 30]),
+    Scenario("dense er, percolation", "er", DENSE, "percolation", [RANDOM, BETWEEN, TRIANGLES, DEGREE], [2, 4, 6, 8, 10, 15, 30]),
+    Scenario("dense sbm, percolation", "sbm", DENSE_SBM, "percolation", [RANDOM, BETWEEN, TRIANGLES, BLOCKED, NEIGHBORS], [2, 4, 6, 8, 10, 15, 30, 50], block_probs=P1),
 ]
 CATALOG = "name string, family string, params map<string,double>, block_probs array<array<double>>, strategies array<string>, algorithm string, seed_numbers array<int>, trials int"
 
@@ -178,8 +180,8 @@ class FirstDirection:
         return spark.range(1, self.trials + 1).repartition(min(self.trials, 4 * cores(spark)), "id").mapInPandas(work, RECORD)
 
 
-ER_STRATEGIES = [R, H, B, T, N, "jaccard_neighborhood_seeds"]
-SBM_STRATEGIES = [*ER_STRATEGIES, BR, "blocked_highest_degree_seeds"]
+ER_STRATEGIES = [RANDOM, DEGREE, BETWEEN, TRIANGLES, NEIGHBORS, "jaccard_neighborhood_seeds"]
+SBM_STRATEGIES = [*ER_STRATEGIES, BLOCKED, "blocked_highest_degree_seeds"]
 SBM_PROBS = ((0.3, 0.1, 0.1), (0.1, 0.3, 0.1), (0.1, 0.1, 0.3))
 
 

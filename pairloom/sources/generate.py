@@ -47,10 +47,18 @@ def both_ways(pairs: DataFrame, directed: bool = False) -> DataFrame:
     return one if directed else one.unionByName(pairs.where("i <> j").select(F.col("j").alias("src"), F.col("i").alias("dst")))
 
 
-def permutation(vertices: DataFrame, seed: int = SEED) -> DataFrame:
-    """label, old: a random order of the vertices; label x stands for vertex old."""
-    order = Window.orderBy(uniform(F.col("id"), 0, seed, STREAM_ORDER), "id")
-    return vertices.select((F.row_number().over(order) - 1).cast("bigint").alias("label"), F.col("id").alias("old"))
+def permutation(vertices: DataFrame, seed: int = SEED, parts: int = 256) -> DataFrame:
+    """label, old: a random order of the vertices; label x stands for vertex old.
+
+    The random numbers are even, so that equal stretches of them are parts of about equal size: a vertex's
+    label is its place in its part, and the sizes of the parts before.
+    """
+    u = uniform(F.col("id"), 0, seed, STREAM_ORDER)
+    drawn = vertices.select("id", u.alias("u"), F.floor(u * parts).cast("int").alias("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = drawn.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # parts rows at most
+    place = F.row_number().over(Window.partitionBy("part").orderBy("u", "id")) - 1
+    return drawn.withColumn("place", place).join(F.broadcast(sizes), "part").select((F.col("base") + F.col("place")).cast("bigint").alias("label"), F.col("id").alias("old"))
 
 
 def invert(perm: DataFrame) -> DataFrame:

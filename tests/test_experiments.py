@@ -87,7 +87,11 @@ def test_queries_run_the_whole_catalogue(spark, monkeypatch):
     monkeypatch.setattr(experiments.FirstDirection, "records", records)
     for name in ("experiment_paired", "experiment_unpaired", "experiment_algorithms", "sweep", "sgm_match", "h0_records", "paired_er", "paired_sbm"):
         queries.QUERIES[name](spark, "")
-    sgm = [s for s in experiments.SCENARIOS if s.algorithm == "sgm"]
-    assert [r.scenarios for r in runs] == [experiments.SCENARIOS] * 4 + [sgm]
+    names = lambda *algorithms: [s.name for s in experiments.SCENARIOS if s.algorithm in algorithms]
+    er = lambda algorithm: [n for n in names(algorithm) if " er," in n]
+    met = [[s.name for s in r.scenarios] for r in runs]
+    assert met == [names("percolation")] * 2 + [er("percolation"), names("sgm", "percolation"), er("sgm")]
+    published = {s.name: (s.params, s.strategies, s.seed_numbers) for s in experiments.SCENARIOS}
+    assert all((s.params, s.strategies, s.seed_numbers) == published[s.name] for r in runs for s in r.scenarios)
     assert [(s.n_seeds, s.trials) for s in studies] == [(20, 100)] * 3
     assert [s.params.get("n", 3 * s.params.get("n_per_block", 0)) for s in studies] == [300] * 3
