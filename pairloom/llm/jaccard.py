@@ -47,11 +47,12 @@ BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1 << 16
 FREQUENT = 256  # documents, beyond what other tokens add to a counter
 PAIR_TOKENS = 700
-SHORT = 16
+SHORT = 32
 SHRINKS = 0.7  # a pivot is worth another if no more than this share of a list's components is left
 SHAPE = 64
 SLICE = 2 << 20  # bytes of text that are shingled at once: their words and shingles take some fifty times that
 LEAST_FILTER, MOST_FILTER = 16, 28  # bits of a text's hash that choose its bit in the table of wanted texts: three more than name so many texts
+BROADCAST_LISTS = 100_000  # posting lists whose bounds are broadcast, at most
 SEEN = 1_000_000  # nodes that a task remembers, so as to index copies once
 
 
@@ -248,7 +249,7 @@ def longer(lists: DataFrame, sets: DataFrame, share: Share) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size", "k", "pos"])
 
     held = lists.groupBy("node").agg(F.collect_list(F.struct("key", "k", "pos")).alias("held"))
-    return held.join(sets.hint("merge"), "node").select("node", "held", "tokens").mapInArrow(grow, ENTRY)
+    return held.join(sets, "node").select("node", "held", "tokens").mapInArrow(grow, ENTRY)
 
 
 def bits_of(hashes: DataFrame, high: int) -> np.ndarray:
@@ -282,7 +283,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Documents (doc_id, th, n, node), and node, comp for nodes that link with others.
 
-    Joins with tables that grow with the corpus are merge joins, whose large keys Spark can split.
+    Joins of all entries are merge joins, whose large keys Spark can split. Pairs meet sets by whatever join
+    Spark takes for their sizes: a few pairs are broadcast, and the sets stay where they are.
     """
     scanned = scratch.keep(scan(docs, n), "scan")
     rows = scanned.where("block is null")
@@ -309,7 +311,7 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
     chosen = scratch.keep(rows.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "n", "shape")).alias("s")).select("node", "s.*"), "chosen")
     if not chosen.limit(1).count():
         return nodes, None
-    side = lambda of, name, *more: chosen.select(F.col("node").alias(of), *[F.col(c).alias(c + name) for c in more]).hint("merge")
+    side = lambda of, name, *more: chosen.select(F.col("node").alias(of), *[F.col(c).alias(c + name) for c in more])
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose shapes do not rule them out: sets differ in no fewer tokens than their shapes do."""
@@ -322,12 +324,12 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
     wanted = scratch.keep(chosen.select("node", "th").join(wanted.hint("merge"), "node", "left_semi"), "wanted")
     high = min(MOST_FILTER, max(LEAST_FILTER, wanted.count().bit_length() + 3))
-    sets = sets_of(docs, n, sent, bits_of(wanted, high), high).join(wanted.select("node").hint("merge"), "node", "left_semi")
+    sets = sets_of(docs, n, sent, bits_of(wanted, high), high).join(wanted.select("node"), "node", "left_semi")
     sets = scratch.keep(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
-        full = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
+        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+        full = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return full.where(share.links(shared, F.size("x"), F.size("y"))).select("a", "b")
 
@@ -336,6 +338,7 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
     lists = lists.withColumn("was", F.lit(None).cast("long"))  # the list's components when it last had a pivot
     while True:
         now = lists.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("most", share.largest(common(), F.col("size")))
+        now = scratch.keep(now, "now")
         more = F.greatest(F.least(share.last(F.col("size"), F.col("k") + 1), F.col("size") - 1) - F.col("pos"), F.lit(0))
         kinds = now.groupBy("key", "comp").agg(F.min("size").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("members"), F.sum(more).alias("room"), F.min(F.struct("pos", "size", "node", "comp")).alias("pivot"))
         kinds = scratch.keep(kinds, "kinds")
@@ -346,8 +349,9 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
         # of other components, the smallest set must be small enough for a member, and the member for the set that can link with the largest
         least = F.when(F.col("comp") == F.col("low.comp"), F.col("low2")).otherwise(F.col("low.least"))
         most = F.when(F.col("comp") == F.col("high.comp"), F.col("high2")).otherwise(F.col("high.most"))
-        bounds = stats.join(second.hint("merge"), "key")
-        active = now.join(bounds.hint("merge"), "key").where((least <= F.col("most")) & (F.col("size") <= most))
+        bounds = scratch.keep(stats.join(second.hint("merge"), "key"), "bounds")
+        bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_LISTS else bounds.hint("merge")
+        active = now.join(bounds, "key").where((least <= F.col("most")) & (F.col("size") <= most))
         active = scratch.keep(active.drop("low", "high", "low2", "high2", "most"), "active")
         if not active.limit(1).count():
             break
@@ -374,7 +378,7 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
         again = active.where(goes_on & (F.col("node") != p["node"])).select("key", "node", "size", "k", "pos", F.col("kinds").alias("was"))
         new = longer(done, sets, share).withColumn("was", F.lit(None).cast("long"))
         old, lists = lists, scratch.keep(again.unionByName(new), "long")
-        for df in (old, kinds, stats, active, done, tried):
+        for df in (old, now, kinds, stats, active, done, tried):
             scratch.drop(df)
     scratch.drop_but(scanned, comps)
     return nodes, comps
