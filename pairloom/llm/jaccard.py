@@ -53,6 +53,7 @@ SHAPE = 64
 SLICE = 2 << 20  # bytes of text that are shingled at once: their words and shingles take some fifty times that
 LEAST_FILTER, MOST_FILTER = 16, 28  # bits of a text's hash that choose its bit in the table of wanted texts: three more than name so many texts
 BROADCAST_LISTS = 100_000  # posting lists whose bounds are broadcast, at most
+BROADCAST_PAIRS = 500_000  # pairs whose nodes' names are broadcast, at most
 SEEN = 1_000_000  # nodes that a task remembers, so as to index copies once
 
 
@@ -283,8 +284,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Documents (doc_id, th, n, node), and node, comp for nodes that link with others.
 
-    Joins of all entries are merge joins, whose large keys Spark can split. Pairs meet sets by whatever join
-    Spark takes for their sizes: a few pairs are broadcast, and the sets stay where they are.
+    Joins of all entries are merge joins, whose large keys Spark can split. In the turns over long lists, the
+    sets that the pairs of a turn name are picked where they lie, so that a few pairs move a few sets.
     """
     scanned = scratch.keep(scan(docs, n), "scan")
     rows = scanned.where("block is null")
@@ -311,15 +312,21 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
     chosen = scratch.keep(rows.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "n", "shape")).alias("s")).select("node", "s.*"), "chosen")
     if not chosen.limit(1).count():
         return nodes, None
-    side = lambda of, name, *more: chosen.select(F.col("node").alias(of), *[F.col(c).alias(c + name) for c in more])
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose shapes do not rule them out: sets differ in no fewer tokens than their shapes do."""
-        both = pairs.join(side("a", "1", "n", "shape"), "a").join(side("b", "2", "n", "shape"), "b")
+    def named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of nodes that pairs (a written table) name, written."""
+        names = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        names = F.broadcast(names) if pairs.count() <= BROADCAST_PAIRS else names.hint("merge")
+        return scratch.keep(rows.join(names, "node", "left_semi"), "named")
+
+    def near(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Pairs whose shapes (of: their nodes) do not rule them out: sets differ in no fewer tokens than their shapes do."""
+        side = lambda to, name: of.select(F.col("node").alias(to), F.col("n").alias(f"n{name}"), F.col("shape").alias(f"shape{name}"))
+        both = pairs.join(side("a", "1"), "a").join(side("b", "2"), "b")
         differ = F.aggregate(F.zip_with("shape1", "shape2", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         return both.where(~share.apart(differ, F.col("n1"), F.col("n2"))).select("a", "b")
 
-    scratch_pairs, pairs = pairs, scratch.keep(near(pairs), "near")
+    scratch_pairs, pairs = pairs, scratch.keep(near(pairs, chosen), "near")
     scratch.drop(scratch_pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(lists.select("node")).distinct()
     wanted = scratch.keep(chosen.select("node", "th").join(wanted.hint("merge"), "node", "left_semi"), "wanted")
@@ -327,13 +334,14 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
     sets = sets_of(docs, n, sent, bits_of(wanted, high), high).join(wanted.select("node"), "node", "left_semi")
     sets = scratch.keep(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        full = first.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Pairs that link. of: the sets of their nodes."""
+        first = pairs.join(of.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+        full = first.join(of.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return full.where(share.links(shared, F.size("x"), F.size("y"))).select("a", "b")
 
-    links = scratch.keep(verified(pairs), "links")
+    links = scratch.keep(verified(pairs, sets), "links")
     comps = components(links, scratch)
     lists = lists.withColumn("was", F.lit(None).cast("long"))  # the list's components when it last had a pivot
     while True:
@@ -370,15 +378,19 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
         alone = share.links(F.col("l.k"), F.col("l.size"), F.col("r.size")) & ((F.col("l.size") < F.col("r.size")) | ((F.col("l.size") == F.col("r.size")) & (F.col("l.node") < F.col("r.node"))))
         pairs = pairs.unionByName(l.join(r, (F.col("l.key") == F.col("r.key")) & alone & other).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")))
         tried = scratch.keep(pairs.distinct(), "tried")
-        found = scratch.keep(verified(near(tried)), "links")
-        links = links.unionByName(found)
-        if found.limit(1).count():
-            scratch.drop(comps)
-            comps = components(links, scratch)
+        shapes = named(chosen, tried)
+        close = scratch.keep(near(tried, shapes), "near")
+        if close.limit(1).count():
+            found = scratch.keep(verified(close, held := named(sets, close)), "links")
+            links = links.unionByName(found)
+            if found.limit(1).count():
+                scratch.drop(comps)
+                comps = components(links, scratch)
+            scratch.drop(held)
         again = active.where(goes_on & (F.col("node") != p["node"])).select("key", "node", "size", "k", "pos", F.col("kinds").alias("was"))
         new = longer(done, sets, share).withColumn("was", F.lit(None).cast("long"))
         old, lists = lists, scratch.keep(again.unionByName(new), "long")
-        for df in (old, now, kinds, stats, active, done, tried):
+        for df in (old, now, kinds, stats, active, done, tried, shapes, close):
             scratch.drop(df)
     scratch.drop_but(scanned, comps)
     return nodes, comps
