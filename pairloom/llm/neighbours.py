@@ -7,7 +7,7 @@
    into parts by hash. Every vector is in each tree.
 3. NN-descent, ROUNDS times: a node's list and the nodes that list it (K each) are compared with each
    other, and each takes the best of those it meets (neighbours of neighbours). Nodes meet by blocks
-   (some leaves of the first tree): a block fetches each vector it needs once.
+   (neighbouring leaves of the first tree): a block fetches each vector it needs once.
 4. A query's beam starts at its own list; HOPS times, the best EXPAND nodes not yet expanded bring in
    their lists, and the best BEAM stay. All of the beam that float32 can't tell from the k nearest are then
    scored in double precision, and ties go to the smaller vec_id.
@@ -35,7 +35,7 @@ K = 48
 TREES, LEAF, LEAF_MOST, SAMPLE = 4, 200, 400, 4096
 ROUNDS, MEET = 2, 16
 BEAM, EXPAND, HOPS = 256, 32, 6
-TOGETHER = 8  # leaves of the first tree in a block: the larger, the fewer blocks fetch a vector
+BLOCKS, BLOCK_MOST = 16, 4096  # blocks, and more only where one would hold more nodes than that: the fewer, the fewer fetch a vector
 QUERIES = 512  # in a block
 LISTS = "node long, ids array<long>, sims array<float>"
 
@@ -210,8 +210,21 @@ def first_lists(units: DataFrame, n: int, scratch: Scratch, k: int = K) -> tuple
         return pa.Table.from_batches([list_batch(node, starts, node[best].ravel(), np.take_along_axis(sim, best, 1).ravel())])
 
     lists = parted.groupBy("tree", "leaf", "part").applyInArrow(compare, LISTS)
-    blocks = parted.where("tree = 0").select("node", "x", F.xxhash64(F.floor(F.col("leaf") / TOGETHER), "part").alias("block"))
-    return lists, blocks
+    return lists, blocked(placed.where("tree = 0"), n, depth)
+
+
+def blocked(placed: DataFrame, n: int, depth: int) -> DataFrame:
+    """node, x, block: leaves (of depth splits) that share their first splits, dealt by hash where they hold over twice an even share.
+
+    A block fetches up to all nodes, and as many of them as 2 * K a node of its own. So that what blocks fetch
+    grows as n does, their number stays while they can hold it.
+    """
+    splits = min(depth, (max(BLOCKS, -(-n // BLOCK_MOST)) - 1).bit_length())
+    even = -(-n // (1 << splits))
+    grouped = placed.withColumn("group", F.shiftright("leaf", depth - splits))
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (2 * max(even, 1))).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), "parts")
+    return grouped.join(sizes, "group").select("node", "x", F.xxhash64("group", part).alias("block"))
 
 
 def reversed_lists(graph: DataFrame, k: int) -> DataFrame:

@@ -61,3 +61,18 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(empty, F.col("vec_id") % 50 == 0).count() == 0
     lone = spark.createDataFrame(rows[:1], ROWS)
     assert neighbours.nearest(lone, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_blocks_fetch_in_proportion(spark):
+    """As many blocks for five times the nodes, none of far more than its share, whatever the leaves."""
+    blocks = {}
+    for n in (10_256, 51_282):
+        depth = math.ceil(math.log2(n / neighbours.LEAF))
+        rows = spark.range(n).selectExpr("id as node", "cast(null as binary) as x", f"if(id % 4 = 0, 0, id % {1 << depth}) as leaf")
+        got = [r["count"] for r in neighbours.blocked(rows, n, depth).groupBy("block").count().collect()]
+        assert sum(got) == n and max(got) <= 3 * n / neighbours.BLOCKS
+        blocks[n] = len(got)
+    assert blocks[10_256] == blocks[51_282] <= 2 * neighbours.BLOCKS
+    big = 40 * neighbours.BLOCK_MOST
+    rows = spark.range(big).selectExpr("id as node", "cast(null as binary) as x", "id % 1024 as leaf")
+    assert max(r["count"] for r in neighbours.blocked(rows, big, 10).groupBy("block").count().collect()) <= 2 * neighbours.BLOCK_MOST
