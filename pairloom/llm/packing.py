@@ -14,7 +14,7 @@ each. Empty table: no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,7 @@ SLACK = 8  # a bin with so few free places is full
 CHUNK = 1 << 16  # items that a task packs at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, level int, grp long, bin long, size long, offset long, done boolean"
+Step = Callable[[Iterator], Iterator]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -60,8 +61,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, places, filled
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each document, unpacked."""
+def cutter(path: str, capacity: int) -> Step:
+    """From doc_id, text to the pieces of each document, unpacked."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -78,11 +79,11 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return cut
 
 
-def pack_local(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
-    """Best-fit in each partition, CHUNK pieces at a time."""
+def filler(capacity: int, slack: int = SLACK) -> Step:
+    """From a partition's pieces to these packed best-fit, CHUNK at a time."""
 
     def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,7 +111,12 @@ def pack_local(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK)
         if rows:
             yield from packed(held, used)[0]
 
-    return pieces.mapInArrow(fill, PACKED)
+    return fill
+
+
+def pack_local(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Best-fit in each partition."""
+    return pieces.mapInArrow(filler(capacity), PACKED)
 
 
 def merge_round(rest: DataFrame, level: int, capacity: int, slack: int, fan: int = FAN) -> DataFrame:
@@ -140,9 +146,14 @@ def merge_round(rest: DataFrame, level: int, capacity: int, slack: int, fan: int
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, fan: int = FAN) -> DataFrame:
     """pieces with sequence_id and offset."""
-    scratch = Scratch(pieces.sparkSession, "pack")
+    return merged(pack_local(pieces, capacity), capacity, fan)
+
+
+def merged(local: DataFrame, capacity: int = CAPACITY, fan: int = FAN) -> DataFrame:
+    """The bins of all partitions, merged up the tree."""
+    scratch = Scratch(local.sparkSession, "pack")
     level, slack = 0, SLACK
-    table_ = scratch.keep(pack_local(pieces, capacity), "local")
+    table_ = scratch.keep(local, "local")
     finished = []
     while True:
         rest = table_.where(~F.col("done"))
@@ -161,8 +172,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, fan: int = FAN) -> DataFra
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Cuts and packs in one worker a task: a second one beside it would hold another 100 MB and more."""
     small_batches(docs.sparkSession, ENCODE_ROWS)
-    return pack(pieces_of(docs, path or vocabulary_path(), capacity), capacity)
+    cut, fill = cutter(path or vocabulary_path(), capacity), filler(capacity)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return merged(texts.mapInArrow(lambda batches: fill(cut(batches)), PACKED), capacity)
 
 
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,19 @@ def test_packing(spark, odd, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_has_one_worker_a_task(spark, odd, monkeypatch):
+    """Encoding and packing meet in one Python worker: two beside each other took an executor's memory."""
+    plans, keep = {}, packing.Scratch.keep
+
+    def watched(self, df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name, **options)
+
+    monkeypatch.setattr(packing.Scratch, "keep", watched)
+    packing.pack_documents(odd, capacity=64)
+    assert plans["local"].count("MapInArrow") == 1
+
+
 def test_packing_merges_across_partitions(spark):
     pieces = spark.range(0, 4000, 1, 16).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(1 + (id * 7919) % 900 as bigint) as length", "id as ids_crc32")
     got = packing.pack(pieces, 2048, fan=4)
