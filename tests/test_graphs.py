@@ -206,3 +206,42 @@ def test_paths_of_a_long_chain(spark):
     edges = spark.createDataFrame(chain, "src bigint, dst bigint").coalesce(1).checkpoint()
     got = scores.bfs_levels(spark.range(0, 1, 1, 1), edges).select("v", "dist", "sigma").collect()
     assert sorted(map(tuple, got)) == [(k, k, 1) for k in range(67)]
+
+
+def test_paths_stay_in_their_component(monkeypatch):
+    """Copies of a graph side by side: each vertex's sum is the lone copy's, and no table of edges times sources is made."""
+    from pairloom.kernels import bfs
+
+    rng = np.random.default_rng(8)
+    m = np.triu(rng.random((40, 40)) < 0.1, 1)
+    m[0, 1:] = True  # a hub
+    one = np.argwhere(m)
+    monkeypatch.setattr(bfs, "TOGETHER", 16)
+    monkeypatch.setattr(bfs, "HUB", 30)
+    whole = one + 100 * np.arange(5)[:, None, None]
+    src, dst = whole[..., 0].ravel(), whole[..., 1].ravel()
+    ids = np.r_[(np.arange(40) + 100 * np.arange(5)[:, None]).ravel(), 7000, 7001, 50]
+    g = bfs.Graph(rng.permutation(ids), src, dst, half=True)
+    assert len(g.cuts) - 1 >= 5
+    found = dict(zip(g.ids.tolist(), g.dependencies(np.sort(ids)).tolist(), strict=True))
+    want = graphs.betweenness((m | m.T).astype(np.int8))
+    for copy in range(5):
+        assert [found[100 * copy + v] for v in range(40)] == pytest.approx(want.tolist())
+    assert found[50] == found[7000] == found[7001] == 0
+
+
+def test_betweenness_holds_little(spark):
+    """A task's memory for 30,000 vertices and 1,200,000 edges, in the kernel that it runs."""
+    import tracemalloc
+
+    from pairloom.kernels import bfs
+
+    rng = np.random.default_rng(9)
+    e = rng.integers(0, 30_000, (2, 600_000))
+    e = np.unique(np.sort(e[:, e[0] != e[1]], axis=0), axis=1)
+    tracemalloc.start()
+    g = bfs.Graph(np.arange(30_000), *np.concatenate([e, e[::-1]], axis=1))
+    g.dependencies(np.arange(32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
