@@ -245,3 +245,32 @@ def test_betweenness_holds_little(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6
+
+
+def plain_distance(points):
+    """scores.pairwise_distance by a join and array functions."""
+    from pyspark.sql import functions as F
+
+    a, b = points.select(F.col("id").alias("i"), F.col("v").alias("x")), points.select(F.col("id").alias("j"), F.col("v").alias("y"))
+    square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", F.round(F.sqrt(square), 6).alias("distance"))
+
+
+def test_distances_meet_by_blocks(spark):
+    """All pairs as by a join of arrays, odd rows too, without a join of all rows."""
+    rng = np.random.default_rng(11)
+    rows = [(k, rng.normal(size=12).astype(np.float32).astype(float).tolist()) for k in range(150)]
+    rows += [(150, None), (151, [1.0, None]), (152, [1.0, 2.0]), (153, [1.0, float("nan")]), (154, []), (155, []), (156, [float("inf")] * 12), (157, [0.0000005, 0.0]), (158, [0.0, 0.0]), (159, [3e30, 0.0]), (None, [1.0, 2.0]), (7, [0.5, 2.0])]
+    points = spark.createDataFrame(rows, "id bigint, v array<double>")
+    df = scores.pairwise_distance(points, block_rows=40)
+    assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+    key = lambda df: sorted((r.i, r.j, repr(r.distance)) for r in df.collect())
+    assert key(df) == key(plain_distance(points))
+
+
+def test_rounded_as_spark_rounds(spark):
+    from pyspark.sql import functions as F
+
+    x = [0.0, 5e-7, 1.5e-6, 2.5e-6, 1.0000005, 1.0000015, 123.4567895, 4503599627.3704965, 1e300, float("inf")] + np.random.default_rng(12).random(500).tolist()
+    want = [r.y for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").withColumn("y", F.round("x", 6)).orderBy("k").collect()]
+    assert scores.rounded(np.array(x), 6).tolist() == want
