@@ -54,6 +54,7 @@ SLICE = 2 << 20  # bytes of text that are shingled at once: their words and shin
 LEAST_FILTER, MOST_FILTER = 16, 28  # bits of a text's hash that choose its bit in the table of wanted texts: three more than name so many texts
 BROADCAST_LISTS = 100_000  # posting lists whose bounds are broadcast, at most
 BROADCAST_PAIRS = 500_000  # pairs whose nodes' names are broadcast, at most
+REST = 8  # tables, after which the driver collects its garbage
 SEEN = 1_000_000  # nodes that a task remembers, so as to index copies once
 
 
@@ -399,7 +400,7 @@ def linked(docs: DataFrame, n: int, share: Share, scratch: Scratch) -> tuple[Dat
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id, and th (hash of the text), comp (the component's name, 0 without words): a row for each document."""
     small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard", REST)
     nodes, comps = linked(docs, n, Share(num, den), scratch)
     of = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     of = of.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else of.withColumn("comp", F.col("node"))

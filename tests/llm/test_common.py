@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from pairloom.llm.common import Scratch, fold_by, slices
+from pairloom.llm.common import Scratch, fold_by, rest_driver, slices
 
 
 @pytest.mark.parametrize("fan", [2, 7, 32])
@@ -25,6 +25,21 @@ def test_scratch(spark):
         spark.read.parquet(kept.scratch_path).count()
 
 
+def full_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+
+
+def test_the_driver_rests_after_tables(spark):
+    before = full_collections(spark)
+    s = Scratch(spark, "rests", rest=2)
+    for _ in range(4):
+        s.keep(spark.range(5), "five")
+    assert full_collections(spark) >= before + 2
+    rest_driver(spark)
+    assert full_collections(spark) >= before + 3
+
+
 def test_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 30, "", "c" * 5])], names=["text"])
     parts = list(slices(batch, "text", 12))
