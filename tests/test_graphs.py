@@ -155,6 +155,30 @@ def test_batched_percolation_expands_when_stuck(spark):
     assert {x.a: x.b for x in found.collect() if x.b is not None} == want
 
 
+def test_batched_percolation_by_components(spark, monkeypatch):
+    """Three separate pairs, two with seeds: components give what brute force gives, and too large ones go to the joins."""
+    rng = np.random.default_rng(8)
+    n, a, b, pairs = 40, np.zeros((120, 120), int), np.zeros((120, 120), int), []
+    for k in range(3):
+        x, y, truth = graphs.er(rng, n, 0.12, 0.9)
+        own = slice(k * n, (k + 1) * n)
+        a[own, own], b[own, own] = x, y
+        if k < 2:
+            pairs += [(int(i) + k * n, int(truth[i]) + k * n) for i in np.argsort(-x.sum(1), kind="stable")[:3]]
+    edges = lambda m: spark.createDataFrame(np.argwhere(m).tolist(), "src bigint, dst bigint")
+    tables = spark.range(120), edges(a), edges(b), spark.createDataFrame(pairs, "a bigint, b bigint")
+    want = batched(a, b, pairs)
+    assert len(want) > len(pairs) + 10
+    found = percolation.percolate_by_components(*tables, 2, True)
+    assert {x.a: x.b for x in found.collect()} | dict(pairs) == want
+    three = percolation.percolate_by_components(*tables, 3, True, parts=2)
+    assert {x.a: x.b for x in three.collect()} | dict(pairs) == batched(a, b, pairs, r=3)
+    monkeypatch.setattr(percolation, "CELLS", n * n - 1)
+    assert percolation.percolate_by_components(*tables, 2, True) is None
+    monkeypatch.setattr(percolation, "percolate_by_joins", lambda *args: tables[3])
+    assert {x.a: x.b for x in percolation.percolate(*tables).collect() if x.b is not None} == dict(pairs)
+
+
 def test_isolated_and_disconnected(spark):
     v, none = spark.range(4), spark.createDataFrame([], "src bigint, dst bigint")
     for df in (scores.degree(v, none), scores.triangles(v, none), scores.jaccard_neighborhood(v, none), scores.betweenness(v, none), scores.neighbor_degree(v, none)):
