@@ -254,6 +254,28 @@ def test_paths_stay_in_their_component(monkeypatch):
     assert found[50] == found[7000] == found[7001] == 0
 
 
+def test_large_components_are_searched_by_levels(monkeypatch):
+    """Odd graphs as by whole steps; and a search meets an edge a few times, however many levels there are."""
+    from pairloom.kernels import bfs
+
+    rng = np.random.default_rng(21)
+    for k in range(30):
+        n = int(rng.integers(2, 60))
+        s, d = (np.arange(n - 1), np.arange(1, n)) if k % 3 == 0 else rng.integers(0, n, (2, int(rng.integers(0, 200))))
+        if k % 3 == 1:  # a hub, with itself too
+            s, d = np.r_[s, np.zeros(n, int)], np.r_[d, np.arange(n)]
+        g = bfs.Graph(np.arange(n) * 7, s * 7, d * 7, half=True)
+        monkeypatch.setattr(bfs, "LARGE", 10**9)
+        want = g.dependencies(np.arange(n) * 7)
+        monkeypatch.setattr(bfs, "LARGE", 0)
+        assert g.dependencies(np.arange(n) * 7) == pytest.approx(want)
+    met, near = [], bfs.Search.near
+    monkeypatch.setattr(bfs.Search, "near", lambda self, *args: met.append(len((out := near(self, *args))[0])) or out)
+    g = bfs.Graph(np.arange(400), np.arange(399), np.arange(1, 400), half=True)
+    g.dependencies(np.array([0]))
+    assert 0 < sum(met) <= 2 * len(g.src)
+
+
 def test_betweenness_holds_little(spark):
     """A task's memory for 30,000 vertices and 1,200,000 edges, in the kernel that it runs."""
     import tracemalloc
