@@ -179,6 +179,31 @@ def test_batched_percolation_by_components(spark, monkeypatch):
     assert {x.a: x.b for x in percolation.percolate(*tables).collect() if x.b is not None} == dict(pairs)
 
 
+def test_percolation_by_cells(spark, monkeypatch):
+    """Graphs too large for matrices give what matrices give, with odd edges, counts beyond a byte and strange vertices too."""
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        n, m, r = (int(x) for x in rng.integers([2, 2, 1], [50, 50, 4]))
+        a, b = ((rng.random((x, x)) < rng.choice([0.05, 0.1, 0.3])).astype(int) for x in (n, m))
+        if k % 2:
+            a, b = a | a.T, b | b.T
+        if k % 5 == 0:
+            a = a * rng.integers(1, 4, a.shape) * (40 if k % 3 == 0 else 1)
+        s = int(rng.integers(1, 4))
+        pairs = np.stack([rng.choice(x, min(s, n, m), replace=False) for x in (n, m)])
+        known = (rng.random(n) < 0.9, rng.random(m) < 0.9) if k % 3 == 0 else None
+        lists = [np.repeat(np.argwhere(x), x[x > 0], axis=0).T for x in (a, b)]
+        want = matching.percolate_batched(a, b, pairs, r, k % 4 > 0, known)
+        assert matching.percolate_by_cells(n, m, *lists, pairs, r, k % 4 > 0, known).tolist() == want.tolist()
+    a, b, truth = graphs.er(rng, 60, 0.08, 0.9)
+    pairs = [(int(i), int(truth[i])) for i in np.argsort(-a.sum(1), kind="stable")[:3]]
+    edges = lambda m: spark.createDataFrame(np.argwhere(m).tolist(), "src bigint, dst bigint")
+    monkeypatch.setattr(percolation, "MATRIX", 0)
+    monkeypatch.setattr(percolation, "percolate_by_joins", None)
+    found = percolation.percolate(spark.range(60), edges(a), edges(b), spark.createDataFrame(pairs, "a bigint, b bigint"))
+    assert {x.a: x.b for x in found.collect() if x.b is not None} == batched(a, b, pairs)
+
+
 def test_isolated_and_disconnected(spark):
     v, none = spark.range(4), spark.createDataFrame([], "src bigint, dst bigint")
     for df in (scores.degree(v, none), scores.triangles(v, none), scores.jaccard_neighborhood(v, none), scores.betweenness(v, none), scores.neighbor_degree(v, none)):
