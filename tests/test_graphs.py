@@ -339,6 +339,19 @@ def test_distances_meet_by_blocks(spark):
     assert key(df) == key(plain_distance(points))
 
 
+def test_distances_send_a_point_to_few_tasks(spark, monkeypatch):
+    """However many points there are, each is sent to as many tasks as there are blocks; pieces of blocks lose no pair."""
+    rng = np.random.default_rng(13)
+    rows = [(k, (rng.normal(size=2 + k % 3) if k % 7 == 0 else rng.normal(size=3).astype(np.float32)).astype(float).tolist()) for k in [*range(300), 5, 5]]
+    points = spark.createDataFrame(rows, "id bigint, v array<double>")
+    monkeypatch.setattr(scores, "PIECE", 16)
+    df = scores.pairwise_distance(points, block_rows=10)
+    assert df.rdd.getNumPartitions() == scores.BLOCKS * (scores.BLOCKS + 1) // 2
+    key = lambda df: sorted((r.i, r.j, repr(r.distance)) for r in df.collect())
+    assert key(df) == key(plain_distance(points))
+    assert key(scores.pairwise_distance(points, most_bytes=1024)) == key(plain_distance(points))
+
+
 def test_rounded_as_spark_rounds(spark):
     from pyspark.sql import functions as F
 
