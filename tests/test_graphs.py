@@ -301,6 +301,24 @@ def test_large_components_are_searched_by_levels(monkeypatch):
     assert 0 < sum(met) <= 2 * len(g.src)
 
 
+def test_betweenness_seeds_of_a_large_component(spark, monkeypatch):
+    """The seeds of brute force on a graph of over LARGE edges, of which each search meets few, as on the co-order pair."""
+    from pairloom.kernels import bfs
+
+    p = generate.er_pair(spark)
+    e = np.array(p.a.select("src", "dst").collect()).T
+    m = np.zeros((600, 600), np.int8)
+    m[tuple(e)] = 1
+    assert e.shape[1] > bfs.LARGE
+    best = np.lexsort((np.arange(600), -np.round(graphs.betweenness(m) / 599 / 598, 9)))[:5]
+    got = {r.seed_rank: r.a for r in seeds.betweenness(p.vertices, p.a, 5, p.truth).collect()}
+    assert [got[k + 1] for k in range(5)] == best.tolist()
+    met, near = [], bfs.Search.near
+    monkeypatch.setattr(bfs.Search, "near", lambda self, *args: met.append(len((out := near(self, *args))[0])) or out)
+    bfs.Graph(np.arange(600), *e).dependencies(np.arange(20))
+    assert 0 < sum(met) <= 20 * e.shape[1]
+
+
 def test_betweenness_holds_little(spark):
     """A task's memory for 30,000 vertices and 1,200,000 edges, in the kernel that it runs."""
     import tracemalloc
